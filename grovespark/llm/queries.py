@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, packing, pii
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op6_benchmark_decontamination": lambda s, d: decontaminate.op6(table(s, d, "documents"), table(s, d, "benchmark")),
+    "op8_pii": lambda s, d: pii.op8(table(s, d, "documents")),
+    "op10_best_fit_packing": lambda s, d: packing.op10(table(s, d, "documents")),
 }
 
 SQL: dict[str, str] = {
