@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, pii
+from . import decontaminate, line_dedup, packing, pii, quality_rules
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op2_line_dedup": lambda s, d: line_dedup.op2(table(s, d, "documents")),
+    "op3_quality_rules": lambda s, d: quality_rules.op3(table(s, d, "documents"), table(s, d, "labels")),
     "op6_benchmark_decontamination": lambda s, d: decontaminate.op6(table(s, d, "documents"), table(s, d, "benchmark")),
     "op8_pii": lambda s, d: pii.op8(table(s, d, "documents")),
     "op10_best_fit_packing": lambda s, d: packing.op10(table(s, d, "documents")),
 }
 
 SQL: dict[str, str] = {
+    "op2_line_dedup": line_dedup.OP2_SQL,
     "op6_benchmark_decontamination": decontaminate.OP6_SQL,
 }
