@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lattice_lm, line_dedup, packing, pii, quality_rules, toxicity
+from . import decontaminate, html_extract, lattice_lm, line_dedup, packing, pii, quality_rules, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ QUERIES: dict[str, Query] = {
     "op6_benchmark_decontamination": lambda s, d: decontaminate.op6(table(s, d, "documents"), table(s, d, "benchmark")),
     "op7_toxicity": lambda s, d: toxicity.op7(table(s, d, "documents"), table(s, d, "labels")),
     "op8_pii": lambda s, d: pii.op8(table(s, d, "documents")),
+    "op9_html_extraction": lambda s, d: html_extract.op9(table(s, d, "pages")),
     "op10_best_fit_packing": lambda s, d: packing.op10(table(s, d, "documents")),
 }
 
