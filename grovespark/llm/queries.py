@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, lattice_lm, line_dedup, packing, pii, quality_rules, toxicity
+from . import decontaminate, html_extract, lattice_lm, line_dedup, minhash, packing, pii, quality_rules, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,7 @@ QUERIES: dict[str, Query] = {
     "op2_line_dedup": lambda s, d: line_dedup.op2(table(s, d, "documents")),
     "op3_quality_rules": lambda s, d: quality_rules.op3(table(s, d, "documents"), table(s, d, "labels")),
     "op4_subword_lattice": lambda s, d: lattice_lm.op4(table(s, d, "documents")),
+    "op5_minhash_near_dedup": lambda s, d: minhash.op5(table(s, d, "documents")),
     "op6_benchmark_decontamination": lambda s, d: decontaminate.op6(table(s, d, "documents"), table(s, d, "benchmark")),
     "op7_toxicity": lambda s, d: toxicity.op7(table(s, d, "documents"), table(s, d, "labels")),
     "op8_pii": lambda s, d: pii.op8(table(s, d, "documents")),
