@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, lattice_lm, line_dedup, minhash, packing, pii, quality_rules, toxicity
+from . import decontaminate, html_extract, lattice_lm, line_dedup, minhash, packing, pii, quality_rules, suffix_dedup, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_suffix_dedup": lambda s, d: suffix_dedup.op1(table(s, d, "documents")),
     "op2_line_dedup": lambda s, d: line_dedup.op2(table(s, d, "documents")),
     "op3_quality_rules": lambda s, d: quality_rules.op3(table(s, d, "documents"), table(s, d, "labels")),
     "op4_subword_lattice": lambda s, d: lattice_lm.op4(table(s, d, "documents")),
