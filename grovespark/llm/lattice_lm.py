@@ -140,6 +140,95 @@ class Lattice:
                 counts[key] = counts.get(key, 0.0) + n * math.exp(alpha[start] + q - alpha[-1])
 
 
+class Blocks:
+    """A lattice over many words at once: words of one length are rows of a matrix, and each cut point is one array
+    operation over them. Longer words go one by one."""
+
+    LONGEST, CELLS = 24, 2_000_000
+
+    def __init__(self, lattice: Lattice):
+        self.lattice = lattice
+        self.tables = []
+        for kind, pieces in enumerate((lattice.first, lattice.rest)):
+            names = list(pieces)
+            h = np.array([self.hash_of(p) for p in names], np.uint64)
+            order = np.argsort(h)
+            values = np.array([pieces[names[i]] for i in order.tolist()])
+            self.tables.append((h[order], values, [(kind, names[i]) for i in order.tolist()]))
+
+    @staticmethod
+    def hash_of(piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * 0x9E3779B97F4A7C15 + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+        return h
+
+    def groups(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+        """Places of words in the list, with their code points as rows; None for a word of over LONGEST."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        for n in np.unique(size).tolist():
+            at = np.flatnonzero(size == n)
+            if n > self.LONGEST:
+                for i in at:
+                    yield at[at == i], None
+                continue
+            step = max(64, self.CELLS // (n * min(n, self.lattice.longest) + 1))
+            for k in range(0, len(at), step):
+                part = at[k : k + step]
+                text = "".join(map(words.__getitem__, part.tolist())).encode("utf-32-le", "surrogatepass")
+                yield part, np.frombuffer(text, np.uint32).reshape(-1, n).astype(np.uint64)
+
+    def edges(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(start, end, log probability of the piece or -inf, its place in the table) for all cut points."""
+        n = codes.shape[1]
+        for start in range(n):
+            known, values, _ = self.tables[start > 0]
+            h = np.zeros(len(codes), np.uint64)
+            for end in range(start + 1, min(n, start + self.lattice.longest) + 1):
+                h = h * np.uint64(0x9E3779B97F4A7C15) + codes[:, end - 1] + np.uint64(1)
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                yield start, end, np.where(known[at] == h, values[at], -np.inf), at
+
+    def forward(self, codes: np.ndarray, edges: list) -> np.ndarray:
+        fall = [x + self.lattice.OTHER for x in self.lattice.other]
+        alpha = np.full((codes.shape[1] + 1, len(codes)), -np.inf)
+        alpha[0] = 0
+        for start, end, p, _ in edges:
+            p = alpha[start] + (np.logaddexp(p, fall[start > 0]) if end == start + 1 else p)
+            alpha[end] = np.logaddexp(alpha[end], p)
+        return alpha
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        out = np.empty(len(words))
+        for at, codes in self.groups(words):
+            out[at] = self.lattice.score(words[at[0]]) if codes is None else self.forward(codes, list(self.edges(codes)))[-1] + self.lattice.stop
+        return out
+
+    def expect(self, words: list[str], counts: dict[tuple[int, str], float]) -> None:
+        """Add the expected uses of each piece in the words."""
+        totals = [np.zeros(len(t[0])) for t in self.tables]
+        fall = [x + self.lattice.OTHER for x in self.lattice.other]
+        for where, codes in self.groups(words):
+            if codes is None:
+                self.lattice.expect(words[where[0]], 1, counts)
+                continue
+            edges = list(self.edges(codes))
+            alpha, beta = self.forward(codes, edges), np.full((codes.shape[1] + 1, len(codes)), -np.inf)
+            beta[-1] = 0
+            for start, end, p, at in reversed(edges):
+                kind = int(start > 0)
+                out = beta[end] + alpha[start] - alpha[-1]
+                hit = np.flatnonzero(p > -np.inf)
+                totals[kind] += np.bincount(at[hit], np.exp(out[hit] + p[hit]), len(totals[kind]))
+                if end == start + 1:
+                    counts[kind, ""] = counts.get((kind, ""), 0.0) + float(np.exp(out + fall[kind]).sum())
+                    p = np.logaddexp(p, fall[kind])
+                beta[start] = np.logaddexp(beta[start], beta[end] + p)
+        for total, (_, _, names) in zip(totals, self.tables, strict=True):
+            for i in np.flatnonzero(total).tolist():
+                counts[names[i]] = counts.get(names[i], 0.0) + float(total[i])
+
+
 def _count(id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, train = Counter(), Counter()
@@ -188,9 +277,9 @@ def fit(counts: DataFrame, *, path: str | None = None, rounds: int = 2) -> Latti
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             found: dict[tuple[int, str], float] = {}
+            blocks = Blocks(shared.value)
             for batch in batches:
-                for word in batch.column(0).to_pylist():
-                    shared.value.expect(word, 1, found)
+                blocks.expect(batch.column(0).to_pylist(), found)
             kinds, pieces = [k for k, _ in found], [p for _, p in found]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(kinds, pa.int32()), pa.array(pieces, pa.string()), pa.array(found.values(), pa.float64())], names=["kind", "piece", "n"]
@@ -215,27 +304,26 @@ class Model:
         self.pieces = math.log(self.discount * distinct / total if total else 1.0)
         self.end = (ends + 0.5) / (total + 1)
 
-    def base(self, c: int) -> float:
-        return (math.log(c + 0.5) - self.norm) / _LOG10
+    def base(self, c: np.ndarray) -> np.ndarray:
+        return (np.log(c + 0.5) - self.norm) / _LOG10
 
-    def score(self, word: str, c: int) -> float:
-        if word == END:
-            return math.log10(self.end)
-        pieces = self.pieces + math.log1p(-self.end) + self.lattice.score(word)
-        if not c:
-            return pieces / _LOG10
-        edge = math.log((c - self.discount) / self.total)
-        hi, lo = max(edge, pieces), min(edge, pieces)
-        return (hi + math.log1p(math.exp(lo - hi))) / _LOG10
+    def score(self, blocks: Blocks, words: list[str], c: np.ndarray) -> np.ndarray:
+        pieces = self.pieces + math.log1p(-self.end) + blocks.scores(words)
+        edge = np.log(np.maximum(c - self.discount, 1e-300) / max(self.total, 1))
+        out = np.where(c > 0, np.logaddexp(edge, pieces), pieces) / _LOG10
+        return np.where([w == END for w in words], math.log10(self.end), out)
 
 
 def _lexicon(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        blocks = Blocks(model.value.lattice)
         for batch in batches:
-            words, c = batch.column("word").to_pylist(), batch.column("c").to_pylist()
+            words, c = batch.column("word").to_pylist(), batch.column("c").to_numpy()
+            h = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
             arrays = [
-                batch.column("hash"), batch.column("c"), pa.array([model.value.base(k) for k in c], pa.float64()),
-                pa.array([model.value.score(w, k) for w, k in zip(words, c, strict=True)], pa.float64()),
+                pa.array(h.view(np.int64)), batch.column("c"), pa.array(model.value.base(c)), pa.array(model.value.score(blocks, words, c))
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=["hash", "c", "base", "score"])
 
@@ -294,10 +382,12 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pa
     total, distinct, once, twice, ends, tokens = (int(x or 0) for x in facts)
     model = Model(fit(counts, path=path, rounds=rounds), total, distinct, once, twice, ends)
     frequent = F.col("n") >= max(1, math.ceil(tokens * HEAD_SHARE))
-    head = {r[0].encode("utf-8", "surrogatepass"): (r[1], model.base(r[1]), model.score(r[0], r[1])) for r in counts.where(frequent | (F.col("word") == END)).select("word", "c").collect()}
-    head.setdefault(END.encode(), (0, model.base(0), model.score(END, 0)))
+    rows = [tuple(r) for r in counts.where(frequent | (F.col("word") == END)).select("word", "c").collect()] or [(END, 0)]
+    words, c = [r[0] for r in rows], np.array([r[1] for r in rows])
+    per_word = zip(c.tolist(), model.base(c).tolist(), model.score(Blocks(model.lattice), words, c).tolist(), strict=True)
+    head = dict(zip((w.encode("utf-8", "surrogatepass") for w in words), per_word, strict=True))
     shared, table = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(head)
-    tail = counts.where(~frequent & (F.col("word") != END)).select("word", "c", _hash("word").alias("hash"))
+    tail = counts.where(~frequent & (F.col("word") != END)).select("word", "c")
     lexicon = saved(tail.mapInArrow(_lexicon(shared), "hash long, c long, base double, score double"), "lexicon")
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     schema = f"id {kind}, row long, hash long, n long, k0 long, b0 double, s0 double"
@@ -316,18 +406,6 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pa
     return out.select(id_col, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _hash(col: str):
-    """xxh64 with seed 0 of the word's bytes, signed."""
-    @F.pandas_udf("long")
-    def of(words):
-        import xxhash
-
-        raw = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
-        return words.__class__(raw.view(np.int64))
-
-    return of(F.col(col))
-
-
 def op4(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The contract's row for each document; see score()."""
     out = score(docs, path=path)
