@@ -1,5 +1,7 @@
 """Substring dedup by line or paragraph hashing: units are normalised, their digests grouped over all documents, the
-earliest ranked occurrence of each stays, and every other one goes, with its original offsets on record."""
+earliest ranked occurrence of each stays, and every other one goes, with its original offsets on record.
+
+Besides whole lines and paragraphs a unit can be a sentence of a line, so that a passage is found inside longer lines."""
 
 from __future__ import annotations
 
@@ -15,19 +17,22 @@ from .common import saved
 
 _SPACE = re.compile(r"[ \t\r\f\v]+")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_BREAK = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n(?:[ \t\r\f\v]*\n)+")}
+_BREAK = {
+    "line": re.compile(r"\n"), "paragraph": re.compile(r"\n(?:[ \t\r\f\v]*\n)+"), "sentence": re.compile(r"\n|(?<=[.!?]) +"),
+}
 
 
-def units(text: str | None, unit: str, least_words: int) -> Iterator[tuple[int, int, bytes | None]]:
-    """(start, end, digest) of each unit of text in code points; no digest if it has too few words to count.
+def units(text: str | None, unit: str, least_words: int) -> Iterator[tuple[int, int, int, bytes | None]]:
+    """(start, end, start of the next, digest) of each unit of text in code points; no digest if it has too few words to count.
 
     Normalised: A-Z in lower case, runs of blanks as one, none at either end."""
     start = 0
     for stop in [*(m.span() for m in _BREAK[unit].finditer(text or "")), (len(text or ""), -1)]:
         plain = _SPACE.sub(" ", text[start : stop[0]].replace("\n", " ") if text else "").strip(" ").translate(_UPPER)
         enough = plain and plain.count(" ") + 1 >= least_words
-        yield start, stop[0], blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=16).digest() if enough else None
-        start = stop[1]
+        after = stop[1] if stop[1] >= 0 else stop[0]
+        yield start, stop[0], after, blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=16).digest() if enough else None
+        start = after
 
 
 def _digests(id_col: str, text_col: str, unit: str, least_words: int):
@@ -35,7 +40,7 @@ def _digests(id_col: str, text_col: str, unit: str, least_words: int):
         for batch in batches:
             rows, found = [], []
             for row, text in enumerate(batch.column(text_col).to_pylist()):
-                own = {d for _, _, d in units(text, unit, least_words) if d}
+                own = {d for _, _, _, d in units(text, unit, least_words) if d}
                 rows += [row] * len(own)
                 found += own
             yield pa.RecordBatch.from_arrays(
@@ -51,15 +56,17 @@ def _cut(id_col: str, text_col: str, unit: str, least_words: int):
             out: list[tuple] = []
             for text, gone in zip(batch.column(text_col).to_pylist(), batch.column("gone").to_pylist(), strict=True):
                 seen, keep, spans, n = set(gone or ()), [], [], 0
-                for a, b, digest in units(text, unit, least_words):
+                for a, b, after, digest in units(text, unit, least_words):
                     n += 1
                     if digest and digest in seen:
                         spans.append({"start": a, "end": b})
                         continue
                     if digest:
                         seen.add(digest)
-                    keep.append((text or "")[a:b])
-                out.append((n if text else 0, spans, None if text is None else ("\n" if unit == "line" else "\n\n").join(keep)))
+                    keep.append((a, b, after))
+                if keep and keep[-1][1] < len(text or ""):  # the break after the last kept unit goes with what followed
+                    keep[-1] = (keep[-1][0], keep[-1][1], keep[-1][1])
+                out.append((n if text else 0, spans, None if text is None else "".join(text[a:after] for a, _, after in keep)))
             n, spans, texts = zip(*out, strict=True) if out else ((), (), ())
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
@@ -71,15 +78,15 @@ def _cut(id_col: str, text_col: str, unit: str, least_words: int):
 
 
 def dedup(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rank_col: str | None = None, unit: str = "line",
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rank_col: str | None = None, unit: str = "sentence",
     least_words: int = 5,
 ) -> DataFrame:
     """Rows (id, n_units, removed array<struct<start,end>>, text) of every document row; offsets are code points of the
     original text.
 
     Of each unit that occurs again, the occurrence of the lowest (rank, id), then the first in the text, stays; the
-    rank is the id unless a column is named. Units of fewer than least_words words stay and hold nothing back. A text
-    without removed units comes back as it was; paragraphs are joined again by one empty line. Rows that share an id are copies of one
+    rank is the id unless a column is named. Units of fewer than least_words words stay and hold nothing back. A unit
+    goes with the break after it; the break after the last unit that stays goes too if anything followed. Rows that share an id are copies of one
     document and are cut alike. Null texts stay null and, like empty ones, have no units; no documents give no rows.
 
     Only digests of lines that occur in several documents meet a join, and that join is on two plain shuffles, so a
@@ -102,7 +109,7 @@ def dedup(
 
 
 def op2(docs: DataFrame) -> DataFrame:
-    """Lines of five words and more that occur before are removed; see dedup()."""
+    """Sentences of lines, of five words and more, that occur before are removed; see dedup()."""
     spans = F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
     return dedup(docs).select(
         "doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), F.array_join(spans, ",").alias("removed"), "text"
@@ -110,10 +117,13 @@ def op2(docs: DataFrame) -> DataFrame:
 
 
 OP2_SQL = r"""
-WITH l AS (
-  SELECT doc_id, i, line, sum(len(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - len(line) - 1 AS a
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
-        FROM documents WHERE text <> '')),
+WITH p AS (
+  SELECT doc_id, string_split(regexp_replace(text, '(\n|[.!?] +)', '\1' || chr(1), 'g'), chr(1)) AS ps
+  FROM documents WHERE text <> ''),
+l AS (
+  SELECT doc_id, i, piece, line, sum(len(piece)) OVER (PARTITION BY doc_id ORDER BY i) - len(piece) AS a
+  FROM (SELECT doc_id, i, piece, CASE WHEN ends_with(piece, chr(10)) THEN left(piece, -1) ELSE regexp_replace(piece, '([.!?]) +$', '\1') END AS line
+        FROM (SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM p))),
 u AS (
   SELECT *, translate(trim(regexp_replace(line, '[ \t\r\f\v]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                       'abcdefghijklmnopqrstuvwxyz') AS plain FROM l),
@@ -125,6 +135,6 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_units, CAST(coalesce(g, 0)
 FROM documents d LEFT JOIN (
   SELECT doc_id, count(*) AS n, sum(CAST(gone AS INT)) AS g,
          string_agg(CAST(a AS VARCHAR) || ':' || CAST(a + len(line) AS VARCHAR), ',' ORDER BY i) FILTER (WHERE gone) AS spans,
-         string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS t
-  FROM k GROUP BY doc_id) USING (doc_id)
+         string_agg(CASE WHEN i = last THEN line ELSE piece END, '' ORDER BY i) FILTER (WHERE NOT gone) AS t
+  FROM (SELECT *, max(CASE WHEN NOT gone THEN i END) OVER (PARTITION BY doc_id) AS last FROM k) GROUP BY doc_id) USING (doc_id)
 """

@@ -30,7 +30,14 @@ def test_lines_keep_the_earliest(spark):
 def test_lines_by_another_rank_and_paragraphs(spark):
     docs = spark.createDataFrame([(1, "one two three four five\n\nx", 9), (2, "one two\nthree four five\n \ny", 1)], "digest long, gone string, id int")
     got = {r["digest"]: r["text"] for r in line_dedup.dedup(docs, id_col="digest", text_col="gone", rank_col="id", unit="paragraph").collect()}
-    assert got == {1: "x", 2: "one two\nthree four five\n\ny"}
+    assert got == {1: "x", 2: "one two\nthree four five\n \ny"}
+
+
+def test_sentences_inside_lines(spark):
+    passage = "The same words come here again. Another sentence of the passage follows."
+    docs = spark.createDataFrame([(1, f"Own start of one. {passage} Own end of one."), (2, f"Something else before it! {passage}"), (3, f"X. {passage}\nend")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.op2(docs).collect()}
+    assert got == {1: f"Own start of one. {passage} Own end of one.", 2: "Something else before it!", 3: "X. end"}
 
 
 def statistics(text):
