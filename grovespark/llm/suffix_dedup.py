@@ -28,7 +28,7 @@ SIDE = WIDTH - GRAM
 #: Bytes of one symbol of the transforms; divides WIDTH.
 SYMBOL = 50
 #: Differing contexts of an anchor that are merged in one task; those of other anchors are counted by window.
-MOST_CONTEXTS = 512
+MOST_CONTEXTS = 2048
 #: Context bytes merged at once, and shards they are split into.
 BATCH_BYTES, SHARDS = 1 << 20, 8
 #: Documents whose ids are broadcast to pick their rows; beyond it the rows are picked by a join.
@@ -292,8 +292,9 @@ def _of(docs: DataFrame, keys: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """Rows (id, th, spans array<struct<a,b>>) of documents (id, th, text) with bytes in repeated windows."""
     names = "id {}, th long, ".format(docs.schema["id"].dataType.simpleString())
-    found = docs.mapInArrow(_anchors, names + "pos long, anchor long, context long, lo long, hi long").drop("pos")
-    found = saved(found, "anchors")
+    docs = docs.where("id is not null")
+    found = docs.mapInArrow(_anchors, names + "pos long, anchor long, context long, lo long, hi long")
+    found = saved(found.select("id", "th", "anchor", "context", "lo", "hi"), "anchors")
     firsts = [F.first(c).alias(c) for c in ("id", "th", "lo", "hi")]
     contexts = saved(found.groupBy("anchor", "context").agg(F.count("*").alias("n"), *firsts), "contexts")
     equal = contexts.where("n > 1").select("anchor", "context")
@@ -308,8 +309,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     held = saved(_of(docs, open_).mapInArrow(_contexts, schema), "held")
     cold = held.where("not hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_merge_partition, names + "a long, b long")
     windows = held.where("hot").mapInArrow(_windows, names + "many boolean, h long, a long")
-    place = F.xxhash64("id", "th", "a")
-    often = windows.groupBy("h").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max("many").alias("many"))
+    placed = windows.select("h", F.xxhash64("id", "th", "a").alias("place"), "many")
+    often = placed.groupBy("h").agg(F.min("place").alias("x"), F.max("place").alias("y"), F.max("many").alias("many"))
     often = saved(often.where("many or x <> y").select("h"), "windows")
     hot = windows.where("not many").join(often, "h").select("id", "th", "a", (F.col("a") + WIDTH).alias("b"))
     spans = whole.unionByName(cold).unionByName(hot).distinct()
@@ -322,8 +323,9 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", by
 
     A byte goes if a string of WIDTH bytes around it starts at another place too, in the same document or another.
     Null texts count as empty. Rows that share id and text are separate occurrences and are treated alike; rows that
-    share only the id are told apart by the text's hash. No documents give no rows."""
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"))
+    share only the id are told apart by the text's 32-bit hash. Rows without an id take no part and come back whole. No
+    documents give no rows."""
+    texts = docs.select(F.col(id_col).alias("id"), F.hash(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("th"), F.col(text_col).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
     found = saved(repeats(texts), "spans")
     struct = "removed array<struct<start:long,end:long>>"
