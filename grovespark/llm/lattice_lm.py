@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import saved
 
 #: A word with at least this share of all tokens is broadcast; there can't be more than its inverse of them.
-HEAD_SHARE = 1 / 50_000
+HEAD_SHARE = 1 / 250_000
 #: Word forms that a task counts before it hands them on.
 FLUSH = 500_000
 #: Stands for the end of a text: a token that no word can equal.
@@ -35,7 +35,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def held_out(doc_id) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % 5 == 1
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 1
 
 
 def piece_vocabulary(path: str | None = None) -> tuple[list[str], list[str]]:
@@ -265,7 +265,7 @@ def count_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return parts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
 
 
-def fit(counts: DataFrame, *, path: str | None = None, rounds: int = 2) -> Lattice:
+def fit(counts: DataFrame, *, path: str | None = None, rounds: int = 1) -> Lattice:
     """Piece scores by expectation-maximisation over the training texts' word forms; the expected counts that reach
     the driver are as many as the vocabulary has pieces."""
     spark, (first, rest) = counts.sparkSession, piece_vocabulary(path)
@@ -322,10 +322,8 @@ def _lexicon(model):
         for batch in batches:
             words, c = batch.column("word").to_pylist(), batch.column("c").to_numpy()
             h = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
-            arrays = [
-                pa.array(h.view(np.int64)), batch.column("c"), pa.array(model.value.base(c)), pa.array(model.value.score(blocks, words, c))
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, names=["hash", "c", "base", "score"])
+            arrays = [pa.array(h.view(np.int64)), batch.column("c"), pa.array(model.value.score(blocks, words, c).astype(np.float32))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["hash", "c", "score"])
 
     return run
 
@@ -367,10 +365,10 @@ def _emit(id_col: str, text_col: str, head):
     return run
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, rounds: int = 2) -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, rounds: int = 1) -> DataFrame:
     """Rows (id, n_tokens, n_known, train_tokens, base_score, score) of every document row.
 
-    Training texts are those whose crc32(id as text) mod 5 is not 1. A null text is empty: one token, its end.
+    Training texts are those whose crc32(id as text) mod 5 is not 1, or that have no id. A null text is empty: one token, its end.
     Without training texts no word is known and the pieces keep their first scores."""
     spark = docs.sparkSession
     counts = saved(count_words(docs, id_col=id_col, text_col=text_col), "words")
@@ -388,7 +386,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pa
     head = dict(zip((w.encode("utf-8", "surrogatepass") for w in words), per_word, strict=True))
     shared, table = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(head)
     tail = counts.where(~frequent & (F.col("word") != END)).select("word", "c")
-    lexicon = saved(tail.mapInArrow(_lexicon(shared), "hash long, c long, base double, score double"), "lexicon")
+    lexicon = tail.mapInArrow(_lexicon(shared), "hash long, c long, score float")
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     schema = f"id {kind}, row long, hash long, n long, k0 long, b0 double, s0 double"
     rows = docs.select(id_col, text_col).mapInArrow(_emit(id_col, text_col, table), schema)
@@ -401,7 +399,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pa
     out = joined.groupBy("row").agg(
         F.max(F.when(~word, F.col("id"))).alias(id_col), F.max(F.when(~word, -F.col("n"))).alias("n_tokens"),
         total_of("k0", (F.col("c") > 0).cast("long")).alias("n_known"),
-        total_of("b0", F.col("base")).alias("base_score"), total_of("s0", F.col("score")).alias("score"),
+        total_of("b0", (F.log(F.col("c") + 0.5) - model.norm) / _LOG10).alias("base_score"), total_of("s0", F.col("score").cast("double")).alias("score"),
     )
     return out.select(id_col, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
@@ -409,5 +407,5 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pa
 def op4(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The contract's row for each document; see score()."""
     out = score(docs, path=path)
-    mark = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1
+    mark = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1, F.lit(False))
     return out.select("doc_id", mark.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
