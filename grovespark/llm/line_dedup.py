@@ -86,14 +86,16 @@ def dedup(
 
     Of each unit that occurs again, the occurrence of the lowest (rank, id), then the first in the text, stays; the
     rank is the id unless a column is named. Units of fewer than least_words words stay and hold nothing back. A unit
-    goes with the break after it; the break after the last unit that stays goes too if anything followed. Rows that share an id are copies of one
-    document and are cut alike. Null texts stay null and, like empty ones, have no units; no documents give no rows.
+    goes with the break after it; the break after the last unit that stays goes too if anything followed.
+
+    Rows that share an id are copies of one document and are cut alike; rows without an id only lose what repeats in
+    themselves. Null texts stay null and, like empty ones, have no units; no documents give no rows.
 
     Only digests of lines that occur in several documents meet a join, and that join is on two plain shuffles, so a
     digest that a third of all documents hold is split at run time."""
     spark_kind = docs.select(id_col).schema[0].dataType.simpleString()
     rank = F.col(rank_col or id_col).alias("rank")
-    digests = docs.select(F.struct(rank, F.col(id_col).alias("id")).alias("who"), F.col(text_col).alias("text"))
+    digests = docs.select(F.struct(rank, F.col(id_col).alias("id")).alias("who"), F.col(text_col).alias("text")).where("who.id is not null")
     who = digests.schema[0].dataType.simpleString()
     digests = digests.mapInArrow(_digests("who", "text", unit, least_words), f"id {who}, digest binary").withColumnRenamed("id", "who")
     shared = digests.groupBy("digest").agg(F.min("who").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
