@@ -5,9 +5,9 @@ documents weigh less than the rest, so only those need a count: every one of the
 documents, the chunks name candidates, and a second pass counts those exactly.
 
 Samples of two texts agree with the probability of their weighted Jaccard similarity. Bands of samples make buckets,
-and no bucket is expanded into all its pairs: each member meets its nearest one, then the most central member of its
-bucket, and what still parts classes is verified inside chunks of bounded size. Every link is verified by the exact
-weighted Jaccard similarity. Exact copies share one representative throughout."""
+and classes grow by likely links first: each member meets its nearest one, then the most central member of its bucket.
+Then all pairs of a bucket whose ends are still in different classes meet, in tasks of bounded size. Every link is
+verified by the exact weighted Jaccard similarity. Exact copies share one representative throughout."""
 
 from __future__ import annotations
 
@@ -29,6 +29,8 @@ BANDS, ROWS = 20, 4
 SATURATE = 64
 #: Members of a bucket that are compared with each other at once.
 CHUNK = 128
+#: Members on either side of a task that compares two parts of a larger bucket.
+MEET = 1024
 #: Shared samples, as a share, from which a pair is worth verifying: over three standard errors below SIMILAR.
 WORTH = 0.65
 #: Frequent-shingle candidates that are broadcast as hashes (16 MB); beyond it all shingles are counted by a shuffle.
@@ -195,13 +197,18 @@ def _sketch(model: Broadcast):
     return run
 
 
+def _keys(sig: np.ndarray) -> np.ndarray:
+    """The bucket of each row of samples in each band."""
+    sig = sig.astype(np.uint64).reshape(len(sig), BANDS, ROWS)
+    key = np.zeros(sig.shape[:2], np.uint64)
+    for j in range(ROWS):
+        key = mix64(key * M3 + sig[:, :, j] + np.uint64(1))
+    return mix64(key + np.arange(BANDS, dtype=np.uint64) * M3)
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches, 4096):
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(len(batch), -1).astype(np.uint64)
-        key = np.zeros((len(batch), BANDS), np.uint64)
-        for j in range(ROWS):
-            key = mix64(key * M3 + sig.reshape(len(batch), BANDS, ROWS)[:, :, j] + np.uint64(1))
-        key = mix64(key + np.arange(BANDS, dtype=np.uint64) * M3)
+        key = _keys(np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(len(batch), -1))
         ids = batch.column("id").take(pa.array(np.repeat(np.arange(len(batch)), BANDS)))
         yield pa.RecordBatch.from_arrays([ids, pa.array(key.reshape(-1).view(np.int64))], names=["id", "bucket"])
 
@@ -267,28 +274,70 @@ def _pairs_in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield batch_of()
 
 
+def _worth(bucket: int, rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows in different classes that are worth verifying, across the two sides if there are two. A pair that
+    an earlier band holds too is left to that one."""
+    sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint32).reshape(len(rows), -1)
+    kind, side = rows.column("class").to_numpy(), rows.column("side").to_numpy()
+    p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    within = not len(p) or not len(q)
+    if within:
+        p = q = np.arange(len(rows))
+    equal = np.zeros((len(p), len(q)), np.uint8)
+    for column in sig.T:
+        equal += column[p][:, None] == column[q][None, :]
+    likely = (equal >= WORTH * sig.shape[1]) & (kind[p][:, None] != kind[q][None, :])
+    i, j = np.nonzero(np.triu(likely, 1) if within else likely)
+    i, j = p[i], q[j]
+    keys = _keys(sig)
+    band = int(np.argmax(keys[0] == np.int64(bucket).view(np.uint64)))
+    first = np.ones(len(i), bool)
+    for earlier in range(band):
+        first &= keys[i, earlier] != keys[j, earlier]
+    return i[first], j[first]
+
+
+def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a task that occur in a pair worth verifying."""
+    names = ["id", "bucket", "chunk", "class", "side"]
+    for (bucket, _), rows in _groups(batches, "bucket", "chunk"):
+        i, j = _worth(bucket, rows)
+        if len(i):
+            yield from rows.select(names).take(pa.array(np.union1d(i, j))).combine_chunks().to_batches()
+
+
 def _links_in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Verified links between the classes of a chunk, each making one class of two: all pairs worth verifying are, the
-    likeliest first, until they are in one class."""
+    """Verified links between the classes of a chunk, each making one class of two: every pair worth verifying is, unless
+    its ends are in one class by then."""
     out: list[tuple[int, int]] = []
-    for _, rows in _groups(batches, "bucket", "chunk"):
-        ids, score, kind = rows.column("id").to_pylist(), _scores(rows), rows.column("class").to_numpy()
+    for (bucket, _), rows in _groups(batches, "bucket", "chunk"):
+        i, j = _worth(bucket, rows)
+        if not len(i):
+            continue
+        ids, kind = rows.column("id").to_pylist(), rows.column("class").to_numpy().copy()
         h, w = (rows.column(c).combine_chunks() for c in ("h", "w"))
-        vectors = [(h[i].values.to_numpy(), w[i].values.to_numpy()) for i in range(len(ids))]
-        up = {k: k for k in kind.tolist()}
-
-        def root(k: int, up: dict[int, int] = up) -> int:
-            while up[k] != k:
-                up[k] = k = up[up[k]]
-            return k
-
-        i, j = np.nonzero(np.triu((score >= WORTH) & (kind[:, None] != kind[None, :])))
-        for x in np.argsort(-score[i, j], kind="stable").tolist():
-            p, q = int(i[x]), int(j[x])
-            a, b = root(int(kind[p])), root(int(kind[q]))
-            if a != b and weighted_jaccard(*vectors[p], *vectors[q]) >= SIMILAR:
-                up[max(a, b)] = min(a, b)
-                out.append((ids[p], ids[q]))
+        size = np.diff(h.offsets.to_numpy())
+        cut = np.cumsum(size) - size
+        code, w = np.unique(h.flatten().to_numpy(), return_inverse=True)[1], w.flatten().to_numpy().astype(float)
+        total, own = np.add.reduceat(w, cut), np.zeros(len(w))
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        for at, to in zip(starts := np.flatnonzero(np.diff(i, prepend=-1)), [*starts[1:], len(i)], strict=True):
+            p, q = int(i[at]), j[at:to]
+            q = q[kind[q] != kind[p]]
+            q = q[np.minimum(total[q], total[p]) >= (SIMILAR - 1e-6) * np.maximum(total[q], total[p])]
+            if not len(q):
+                continue
+            mine = slice(cut[p], cut[p] + size[p])
+            own[code[mine]] = w[mine]
+            first = np.cumsum(size[q]) - size[q]
+            flat = np.arange(size[q].sum()) + np.repeat(cut[q] - first, size[q])
+            low = np.add.reduceat(np.minimum(w[flat], own[code[flat]]), first)
+            own[code[mine]] = 0
+            for x in q[low >= SIMILAR * (total[p] + total[q] - low)].tolist():
+                if kind[x] != kind[p]:
+                    kind[kind == kind[x]] = kind[p]
+                    out.append((ids[p], ids[x]))
     a, b = zip(*out, strict=True) if out else ((), ())
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -343,6 +392,35 @@ def components(links: DataFrame) -> DataFrame:
         state = after.select("id", "class")
 
 
+def _meetings(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """Rows (id, bucket, chunk, class, side, sig) that bring any two of a bucket's members of different classes into one
+    task (chunk), of about MEET members on each side.
+
+    Members of a bucket's largest class don't meet each other, so they are sent only to the parts of the others."""
+    sizes = rows.groupBy("bucket", "class").count()
+    tops = sizes.groupBy("bucket").agg(F.max(F.struct("count", "class")).alias("top"), F.sum("count").alias("n")).where("n > top.count")
+    tops = tops.select(
+        "bucket", F.col("top.class").alias("top"), F.ceil(F.col("top.count") / MEET).alias("tops"),
+        F.ceil((F.col("n") - F.col("top.count")) / MEET).alias("rest"),
+    )
+    is_top = F.col("class") == F.col("top")
+    rows = rows.join(saved(tops, "tops"), "bucket").join(own, "id")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "bucket"), F.when(is_top, F.col("tops")).otherwise(F.col("rest"))))
+
+    def task(kind: int, i, j):
+        return F.lit(kind << 60) + F.shiftleft(i, 30) + j
+
+    part, others = F.col("part"), F.sequence(F.lit(0).cast("long"), F.col("rest") - 1)
+    top_parts = F.sequence(F.lit(0).cast("long"), F.col("tops") - 1)
+    to = F.when(is_top, F.transform(others, lambda j: F.struct(task(1, part, j).alias("chunk"), F.lit(0).alias("side")))).otherwise(
+        F.concat(
+            F.transform(others, lambda j: F.struct(task(0, F.least(part, j), F.greatest(part, j)).alias("chunk"), (j < part).cast("int").alias("side"))),
+            F.transform(top_parts, lambda t: F.struct(task(1, t, part).alias("chunk"), F.lit(1).alias("side"))),
+        )
+    )
+    return rows.select("id", "bucket", "class", "sig", F.explode(to).alias("to")).select("id", "bucket", "to.chunk", "class", "to.side", "sig")
+
+
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, class_id) of every document row; the class is named by its smallest id, which must be a long.
 
@@ -350,8 +428,8 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     classes are what links connect. Texts without words (null, empty, blank) are classes of their own. Rows that
     share an id count as one document. A null id has a null class. No documents give no rows.
 
-    In a bucket of over CHUNK texts a pair is compared in its chunk, which other bands deal anew, and through the
-    bucket's most central text; in smaller ones all pairs are."""
+    All pairs that share a bucket and agree on WORTH of their samples are verified, unless other links join them first.
+    In a bucket of over CHUNK texts the rows that are sent grow with the square of those outside its largest class."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
     model = spark.sparkContext.broadcast(weights(texts.select("text")))
@@ -388,16 +466,19 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
             some = some.join(found.select(F.col("id").alias(x), F.col("class").alias("c" + x)), x, "left")
         return some.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
-    # each text and its nearest first, then the most central texts of large buckets, then what chunks hold between classes
+    # each text and its nearest first, then the most central texts of large buckets, then what buckets hold between classes
     ends = met.where("b is not null").select(F.explode(F.array("a", "b")).alias("id"), "a", "b", "score")
     best = ends.groupBy("id").agg(F.max(F.struct("score", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
     links = [verified(best)]
     found = components(links[0])
     links.append(verified(saved(across(to_pivot, found), "central")))
     found = components(links[0].union(links[1]))
-    labelled = saved(members.join(found, "id", "left").select("id", "bucket", "chunk", F.coalesce("class", "id").alias("class")), "labelled")
-    mixed = labelled.groupBy("bucket", "chunk").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").drop("x", "y")
-    mixed = labelled.join(saved(mixed, "mixed"), ["bucket", "chunk"]).join(own, "id").join(vectors, "id")
+    labelled = saved(members.join(found, "id", "left").select("id", "bucket", F.col("chunk").cast("long").alias("chunk"), F.coalesce("class", "id").alias("class"), "big"), "labelled")
+    mixed = labelled.where("not big").groupBy("bucket", "chunk").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").drop("x", "y")
+    names = ["id", "bucket", "chunk", "class", "side"]
+    mixed = labelled.join(saved(mixed, "mixed"), ["bucket", "chunk"]).withColumn("side", F.lit(0)).select(names)
+    met = by_chunk(_meetings(labelled.where("big"), own)).mapInArrow(_involved, "id long, bucket long, chunk long, class long, side int")
+    mixed = mixed.union(saved(met, "involved")).join(own, "id").join(vectors, "id")
     links.append(saved(by_chunk(mixed).mapInArrow(_links_in_chunks, "a long, b long").distinct(), "more"))
     found = saved(components(reduce(DataFrame.union, links)), "found")
 

@@ -93,3 +93,24 @@ def test_shuffled_counts_equal_broadcast_ones(spark):
     texts = spark.createDataFrame([(t,) for _, t in corpus()], "text string")
     a, b = m.weights(texts), m.weights(texts, most=0)
     assert (a.h == b.h).all() and (a.idf == b.idf).all() and len(a.h)
+
+
+def test_pairs_inside_large_buckets_are_found(spark):
+    """2,400 texts share a passage (similarity 0.74, so buckets hold over 1,000); 100 pairs of them are near copies."""
+    rng = random.Random(5)
+    passage, rows = " ".join("p%d" % i for i in range(400)), []
+    for n in range(2400):
+        own = ["o%d" % rng.randrange(10**9) for _ in range(16)]
+        if n % 24 == 1:  # the second of a pair keeps the first half of its own words
+            own[:8] = before[:8]
+        before = own
+        rows.append((n, passage + " " + " ".join(own)))
+    texts = spark.createDataFrame([(t,) for _, t in rows], "text string")
+    model = m.weights(texts)
+    doc, h, tf = m.shingles([t for _, t in rows])
+    sig = m.Sampler().sample(doc, h, model.of(h, tf), len(rows))
+    assert max(np.unique(m._keys(sig)[:, b], return_counts=True)[1].max() for b in range(m.BANDS)) > 1000
+    v = [(h[doc == i], model.of(h, tf)[doc == i]) for i in range(4)]
+    assert m.weighted_jaccard(*v[0], *v[1]) > 0.81 and m.weighted_jaccard(*v[0], *v[2]) < 0.78
+    got = {r["doc_id"]: r["class_id"] for r in m.op5(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {n: n - (n % 24 == 1) for n in range(2400)}
