@@ -1,7 +1,7 @@
 """Benchmark decontamination: a broadcast hash set of normalised benchmark n-grams against document token windows.
 
 The benchmark is read in blocks of a bounded number of bytes. One block is broadcast to the tasks that scan the
-documents; a benchmark beyond the bound takes one scan per block, and the hits are united per document.
+documents; a benchmark beyond the bound takes one scan per block, and a row carries its hits from scan to scan.
 Windows are looked up by a rolling hash of word numbers and every hit is verified against the words themselves."""
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 #: Words are runs of ASCII letters and digits and of all code points from U+0080, whose UTF-8 bytes are all >= 0x80.
 _FOLD = bytes(
@@ -41,7 +42,7 @@ def _rolling(ids: np.ndarray, n: int) -> np.ndarray:
 class GramSet:
     """The windows of a block of benchmark items."""
 
-    def __init__(self, items: list[tuple[str, str | None]], n: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], n: int):
         self.vocab: dict[bytes, int] = {}
         self.items: dict[int, dict[bytes, list[str]]] = {}
         grams: dict[int, dict[bytes, set[str]]] = defaultdict(lambda: defaultdict(set))
@@ -50,7 +51,7 @@ class GramSet:
             size = min(n, len(ids))
             for k in range(len(ids) - size + 1 if size else 0):
                 grams[size][ids[k : k + size].tobytes()].add(item_id)
-        self.grams = {size: {k: sorted(v) for k, v in g.items()} for size, g in grams.items()}
+        self.grams = {size: {k: list(v) for k, v in g.items()} for size, g in grams.items()}
         self.hashes = {
             size: np.sort(_rolling(np.frombuffer(b"".join(g), np.int64).astype(np.uint64), size)[::size])
             for size, g in self.grams.items()
@@ -83,39 +84,43 @@ class GramSet:
         return np.flatnonzero(np.cumsum(mask[:-1]) > 0), found
 
 
-def _scan(gram_set, id_col: str, text_col: str):
+def _scan(gram_set, last: bool):
+    """Adds a block's hits to rows (id, text, hit_words, items); the last block's scan has n_words in place of the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = gram_set.value
         for batch in batches:
             n_words, pos, items = [], [], []
-            for text in batch.column(text_col).to_pylist():
+            before = zip(*(batch.column(k).to_pylist() for k in (2, 3)), strict=True) if batch.num_columns > 2 else repeat(((), ()))
+            for text, (were, had) in zip(batch.column(1).to_pylist(), before):  # noqa: B905
                 words = words_of(text)
                 at, found = grams.hits(words)
                 n_words.append(len(words))
-                pos.append(at)
-                items.append(sorted(found))
+                pos.append(np.union1d(np.array(were, np.int64), at) if were else at)
+                items.append(sorted(found.union(had), key=lambda x: (x is None, x or "")))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(id_col),
-                    pa.array(n_words, pa.int64()),
+                    batch.column(0),
+                    pa.array(n_words, pa.int64()) if last else batch.column(1),
                     pa.array(pos, pa.list_(pa.int32())),
                     pa.array(items, pa.list_(pa.string())),
                 ],
-                names=["id", "n_words", "hit_words", "items"],
+                names=["id", "n_words" if last else "text", "hit_words", "items"],
             )
 
     return run
 
 
-def _blocks(bench: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    block, size = [], 0
-    for row in bench.select(F.col(item_col).cast("string"), text_col).where(F.col(item_col).isNotNull()).toLocalIterator():
+def _blocks(bench: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
+    block, size, some = [], 0, False
+    for row in bench.select(F.col(item_col).cast("string"), text_col).toLocalIterator():
         block.append((row[0], row[1]))
         size += len(row[1] or "") * 4
         if size >= block_bytes:
             yield block
-            block, size = [], 0
-    yield block
+            block, size, some = [], 0, True
+    if block or not some:
+        yield block
 
 
 def annotate(
@@ -125,56 +130,60 @@ def annotate(
     """One row per document row: id, n_words, hit_words (0-based word positions), items, n_hit, n_items, contaminated.
 
     A document is contaminated if it has a hit and hit words are at least `share` of its words. Items of fewer than n
-    words are one window each; items and documents without words never match. Null texts have no words. Repeated
-    documents get a row each while one broadcast suffices; beyond it, ids must be unique. Empty tables give no rows,
-    or documents without hits."""
+    words are one window each; items and documents without words never match. Null texts have no words. A null among
+    the items, at their end, stands for those without an id. Repeated documents get a row each. Empty tables give no
+    rows, or documents without hits."""
     spark = docs.sparkSession
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    schema = f"id {kind}, n_words long, hit_words array<int>, items array<string>"
-    parts = []
-    for block in _blocks(bench, item_col, item_text_col, block_bytes):
-        if block or not parts:
-            shared = spark.sparkContext.broadcast(GramSet(block, n))
-            parts.append(docs.select(id_col, text_col).mapInArrow(_scan(shared, id_col, text_col), schema))
-    out = parts[0]
-    if len(parts) > 1:
-        for more in parts[1:]:
-            out = out.unionByName(more)
-        out = out.groupBy("id").agg(
-            F.max("n_words").alias("n_words"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        )
+    shared = [spark.sparkContext.broadcast(GramSet(block, n)) for block in _blocks(bench, item_col, item_text_col, block_bytes)]
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    for grams in shared:
+        last = grams is shared[-1]
+        out = out.mapInArrow(_scan(grams, last), f"id {kind}, {'n_words long' if last else 'text string'}, hit_words array<int>, items array<string>")
     return out.select(
         F.col("id").alias(id_col), "n_words", "hit_words", "items",
         F.size("hit_words").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(share) * F.col("n_words")))
 
 
-def _strip(gram_set, text_index: int, share: float, mode: str):
+def _mark(gram_set, text_index: int):
+    """Rows whose last column, the hit words of earlier blocks, has this block's too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = gram_set.value
+        for batch in batches:
+            pos = []
+            for text, were in zip(batch.column(text_index).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                at, _ = grams.hits(words_of(text))
+                pos.append(np.union1d(np.array(were, np.int64), at) if were else at)
+            columns = [*batch.columns[:-1], pa.array(pos, batch.schema.field(batch.num_columns - 1).type)]
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return run
+
+
+def _strip(text_index: int, share: float, mode: str):
     import re
 
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = gram_set.value
         for batch in batches:
             keep, texts = [], []
-            for text in batch.column(text_index).to_pylist():
-                words = words_of(text)
-                at, _ = grams.hits(words)
-                bad = len(at) > 0 and len(at) >= share * len(words)
+            for text, at in zip(batch.column(text_index).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                bad = len(at) > 0 and len(at) >= share * len(words_of(text))
                 keep.append(not bad if mode == "documents" else True)
                 if mode == "spans" and bad:
                     spans, cut = [m.span() for m in word.finditer(text)], []
-                    for run_ in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+                    for run_ in np.split(np.array(at), np.flatnonzero(np.diff(at) > 1) + 1):
                         cut.append((spans[run_[0]][0], spans[run_[-1]][1]))
                     for a, b in reversed(cut):
                         text = text[:a] + text[b:]
                 texts.append(text)
-            columns = list(batch.columns)
+            columns = list(batch.columns[:-1])
             columns[text_index] = pa.array(texts, batch.schema.field(text_index).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
+            schema = pa.schema(list(batch.schema)[:-1])
+            yield pa.RecordBatch.from_arrays(columns, schema=schema).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -185,13 +194,16 @@ def remove(
 ) -> DataFrame:
     """Documents without the contaminated ones (mode "documents"), or with their hit passages cut out ("spans").
 
-    All columns stay as they are, whatever their names. Each benchmark block is one more pass over what is left."""
+    All columns stay as they are, whatever their names. Each benchmark block is one more pass; the hits of all of
+    them together are judged."""
     assert mode in ("documents", "spans")
     spark, at = docs.sparkSession, docs.columns.index(text_col)
+    marked = StructType([*docs.schema.fields, StructField("__hit_words", ArrayType(IntegerType()))])
+    out = docs.select("*", F.array().cast("array<int>").alias("__hit_words"))
     for block in _blocks(bench, item_col, item_text_col, block_bytes):
         shared = spark.sparkContext.broadcast(GramSet(block, n))
-        docs = docs.mapInArrow(_strip(shared, at, share, mode), docs.schema)
-    return docs
+        out = out.mapInArrow(_mark(shared, at), marked)
+    return out.mapInArrow(_strip(at, share, mode), docs.schema)
 
 
 def op6(docs: DataFrame, bench: DataFrame) -> DataFrame:

@@ -125,6 +125,22 @@ def test_removal_keeps_columns_and_clean_texts(spark):
     assert cut == {1: "Start, . End", 2: "clean text", 3: None}
 
 
+def test_blocks_of_the_benchmark_are_judged_together(spark):
+    """Hits of 3% from each of two blocks make 6%; repeated and missing ids keep their rows, and an item without an id counts."""
+    items = [[f"{k}{i}" for i in range(3)] for k in "xy"]
+    text = " ".join([*items[0], *(f"w{i}" for i in range(94)), *items[1]])
+    docs = spark.createDataFrame([(1, text), (1, "clean"), (None, text), (None, "clean too")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(items[0])), (None, " ".join(items[1]))], "item_id long, text string")
+    for size in (1, 1 << 20):
+        got = decontaminate.annotate(docs, bench, block_bytes=size).select("doc_id", "n_words", "n_hit", "items", "contaminated").collect()
+        assert sorted(map(str, got)) == sorted(map(str, spark.createDataFrame(
+            [(1, 100, 6, ["1", None], True), (1, 1, 0, [], False), (None, 100, 6, ["1", None], True), (None, 2, 0, [], False)],
+            "doc_id long, n_words long, n_hit long, items array<string>, contaminated boolean").collect()))
+        assert sorted(r["text"] for r in decontaminate.remove(docs, bench, block_bytes=size).collect()) == ["clean", "clean too"]
+        spans = decontaminate.remove(docs, bench, mode="spans", block_bytes=size).where("doc_id = 1").collect()
+        assert {r["text"].strip() for r in spans} == {"clean", " ".join(f"w{i}" for i in range(94))}
+
+
 def test_ordinal_regression_recovers_grades():
     rng = np.random.default_rng(1)
     w = rng.normal(size=6)
