@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import saved
+
 
 def tree(json: Column) -> Column:
     """A JSON text as a variant; empty if it is none."""
@@ -44,15 +46,15 @@ def children(df: DataFrame, column: str, *keys: str) -> DataFrame:
 def descendants(df: DataFrame, column: str, *keys: str) -> DataFrame:
     """Rows (keys, level, key, value) of all nodes below, arrays passed through as no nodes of their own.
 
-    Recursion is Spark's; spark.sql.cteRecursionLevelLimit and cteRecursionRowLimit bound it."""
-    own = ", ".join(f"`{k}`" for k in keys)
-    inner = ", ".join(f"t.`{k}`" for k in keys)
-    return df.sparkSession.sql(
-        f"""WITH RECURSIVE t({own}, level, key, value) AS (
-          SELECT {own}, 1, e.key, e.value FROM {{df}}, LATERAL variant_explode(`{column}`) AS e
-          UNION ALL
-          SELECT {inner}, t.level + if(schema_of_variant(t.value) LIKE 'ARRAY%', 0, 1), coalesce(e.key, t.key), e.value
-          FROM t, LATERAL variant_explode(t.value) AS e)
-        SELECT {own}, level, key, value FROM t WHERE schema_of_variant(value) NOT LIKE 'ARRAY%'""",
-        df=df,
-    )
+    Each level is a written table of its own, so neither rows nor levels are bounded."""
+    spark = df.sparkSession
+    own = "".join(f"`{k}`, " for k in keys)
+    level = saved(spark.sql(f"SELECT {own}1 AS level, e.key, e.value FROM {{df}}, LATERAL variant_explode(`{column}`) AS e", df=df), "level")
+    found = level
+    while level.limit(1).count():
+        inner = "".join(f"t.`{k}`, " for k in keys)
+        step = f"""SELECT {inner}t.level + if(schema_of_variant(t.value) LIKE 'ARRAY%', 0, 1) AS level, coalesce(e.key, t.key) AS key, e.value
+          FROM {{level}} t, LATERAL variant_explode(t.value) AS e"""
+        level = saved(spark.sql(step, level=level), "level")
+        found = found.union(level)
+    return found.where("schema_of_variant(value) NOT LIKE 'ARRAY%'")

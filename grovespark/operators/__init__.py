@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import saved
+
 
 def rows_of(df: DataFrame, key: str, c: Column, name: str = "item") -> DataFrame:
     """A row (key, ord, item) for each item."""
@@ -35,12 +37,19 @@ def resolve(df: DataFrame, reference: Column, targets: DataFrame, target_key: st
 def repeat(seed: DataFrame, edges: DataFrame, *, distinct: bool = True) -> DataFrame:
     """Rows (root, node) reached from the seed's (root, node) by edges (src, dst), without the seed itself.
 
-    distinct: each node once for a root, so cycles end; otherwise every path counts and cycles don't end. Recursion is
-    Spark's own, bounded by spark.sql.cteRecursionLevelLimit."""
-    sql = """WITH RECURSIVE t(root, node, path) AS (
-        SELECT s.root, e.dst, array(e.dst) FROM {seed} s JOIN {edges} e ON e.src = s.node
-        UNION ALL
-        SELECT t.root, e.dst, concat(t.path, array(e.dst)) FROM t JOIN {edges} e ON e.src = t.node %s)
-      SELECT %s root, node FROM t"""
-    guard = "WHERE NOT array_contains(t.path, e.dst)" if distinct else ""
-    return seed.sparkSession.sql(sql % (guard, "DISTINCT" if distinct else ""), seed=seed, edges=edges)
+    distinct: each node once for a root, so cycles end; otherwise every path counts and cycles don't end. Each level is a
+    written table of its own, so neither rows nor levels are bounded."""
+
+    def step(near: DataFrame) -> DataFrame:
+        far = near.alias("t").join(edges.alias("e"), F.col("e.src") == F.col("t.node")).select("t.root", F.col("e.dst").alias("node"))
+        return far.distinct() if distinct else far
+
+    level = found = saved(step(seed), "level")
+    while level.limit(1).count():
+        level = step(level)
+        if distinct:
+            new = F.col("t.root").eqNullSafe(F.col("f.root")) & (F.col("t.node") == F.col("f.node"))
+            level = level.where("node IS NOT NULL").alias("t").join(found.alias("f"), new, "left_anti")
+        level = saved(level, "level")
+        found = found.union(level)
+    return found

@@ -131,6 +131,22 @@ def test_repeat_ends_on_cycles(spark):
     assert sorted(r["node"] for r in operators.repeat(seed, edges).collect()) == ["a", "b", "c"]
 
 
+def test_trees_and_repeat_are_not_bounded_by_limits_of_recursion(spark):
+    limits = {"spark.sql.cteRecursionRowLimit": "5", "spark.sql.cteRecursionLevelLimit": "2"}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.createDataFrame([(i, '{"a":{"b":{"c":{"d":1}}}}') for i in range(20)], "id int, j string").select("id", trees.tree(F.col("j")).alias("v"))
+        assert sorted((r["id"], r["level"], r["key"]) for r in trees.descendants(df, "v", "id").collect()) == [(i, n + 1, k) for i in range(20) for n, k in enumerate("abcd")]
+        seed = spark.createDataFrame([(1, 0), (2, 3), (None, 4)], "root int, node int")
+        edges = spark.createDataFrame([(0, 1), (0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 3)], "src int, dst int")
+        got = [(r["root"], r["node"]) for r in operators.repeat(seed, edges).collect()]
+        assert sorted(got, key=str) == sorted([*((1, n) for n in range(1, 6)), *((r, n) for r in (2, None) for n in range(3, 6))], key=str)
+    finally:
+        for k in limits:
+            spark.conf.unset(k)
+
+
 def test_leaves_prune_the_read(spark, tmp_path):
     spark.range(3).select(F.array(F.struct(F.col("id").alias("a"), F.lit("x").alias("b"), F.lit(1.5).alias("z"))).alias("item")).write.parquet(str(tmp_path / "p"))
     df = spark.read.parquet(str(tmp_path / "p"))
