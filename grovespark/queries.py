@@ -290,6 +290,20 @@ def _collection(name: str, column: Expression, sql: str) -> None:
     SQL[name] = _LI + sql
 
 
+class WholeTexts(Columns):
+    """The same columns, with all of the text where Columns has its head."""
+
+    @property
+    def head(self) -> Column:
+        return self.text
+
+
+def _whole(expression: Expression) -> Expression:
+    return lambda _: expression(WholeTexts())
+
+
+SCALARS += [(f"{name}_whole", of, _whole(e), sql.replace(_HEAD, "text")) for name, of, e, sql in SCALARS if _HEAD in sql]
+
 for _row in SCALARS:
     _scalar(*_row)
 for _row in PER_ORDER:

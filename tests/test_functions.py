@@ -165,3 +165,21 @@ def test_stream_equals_batch(spark, tmp_path):
     done = {(r["start"], r["event_type"], r["n"]) for r in spark.read.parquet(str(tmp_path / "out2")).collect()}
     assert done <= {(r["start"], r["event_type"], r["n"]) for r in streaming.windowed(events).collect()}
     assert streaming.sessions(events).agg(F.sum("n")).collect()[0][0] == events.count()
+
+
+def test_whole_texts_are_read_beyond_their_heads(spark, tmp_path):
+    from grovespark.queries import QUERIES
+
+    text = "a b " * 20 + 'én <&> "e" \\ \n\t end'
+    spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def got(name):
+        df = QUERIES[name](spark, str(tmp_path))
+        key = next(c for c in df.columns if c == "doc_id" or c == "key")
+        value = next(c for c in df.columns if c != key)
+        return {r[key]: r[value] for r in df.collect()}[1]
+
+    for name in ("decode_hex", "decode_base64", "decode_urlbase64", "unescape_html", "unescape_json"):
+        assert got(name + "_whole") == text
+    assert got("encode_hex_whole") == text.encode().hex() and got("string_to_chars_whole") == len(text)
+    assert got("string_last_index_of_whole") == text.rindex("e") and got("string_join_split_whole") == text.replace(" ", "|")
