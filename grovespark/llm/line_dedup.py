@@ -110,10 +110,10 @@ def dedup(
     return out.mapInArrow(_cut("id", "text", unit, least_words), schema).withColumnRenamed("id", id_col)
 
 
-def op2(docs: DataFrame) -> DataFrame:
-    """Sentences of lines, of five words and more, that occur before are removed; see dedup()."""
+def op2(docs: DataFrame, least_words: int = 5) -> DataFrame:
+    """Sentences of lines, of five words (or least_words) and more, that occur before are removed; see dedup()."""
     spans = F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
-    return dedup(docs).select(
+    return dedup(docs, least_words=least_words).select(
         "doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), F.array_join(spans, ",").alias("removed"), "text"
     )
 
@@ -140,3 +140,6 @@ FROM documents d LEFT JOIN (
          string_agg(CASE WHEN i = last THEN line ELSE piece END, '' ORDER BY i) FILTER (WHERE NOT gone) AS t
   FROM (SELECT *, max(CASE WHEN NOT gone THEN i END) OVER (PARTITION BY doc_id) AS last FROM k) GROUP BY doc_id) USING (doc_id)
 """
+
+#: The same with units of any number of words.
+OP2_EVERY_SQL = OP2_SQL.replace("+ 1 >= 5", "+ 1 >= 1")

@@ -40,6 +40,22 @@ def test_sentences_inside_lines(spark):
     assert got == {1: f"Own start of one. {passage} Own end of one.", 2: "Something else before it!", 3: "X. end"}
 
 
+def test_passages_of_short_units_go_whole(spark, tmp_path):
+    import duckdb
+    from grovespark.llm import queries
+
+    verse = "\n".join(f"Short line {i}" for i in range(20))
+    rows = [(1, verse), (2, "An introduction of more words.\n" + verse), (3, None), (4, "Yes. No. Yes.")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["op2_every_unit_dedup"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(queries.SQL["op2_every_unit_dedup"])
+    rows = sorted(tuple(r) for r in got.select(*want.columns).collect())
+    assert rows == sorted(want.fetchall())
+    assert [r[want.columns.index("text")] for r in rows] == [verse, "An introduction of more words.", None, "Yes. No."]
+
+
 def statistics(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     grams = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
