@@ -83,3 +83,11 @@ def test_likely_words_score_higher(spark):
     docs = spark.createDataFrame([*rows, (a, "thereonan antian"), (b, "xqzjvkqqw wvvqxz")], "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in q.score(docs).collect()}
     assert got[a] > got[b] + 2
+
+
+def test_two_rounds_are_fitted(spark, monkeypatch):
+    rounds, counted = [], q.Lattice.counted
+    monkeypatch.setattr(q.Lattice, "counted", lambda *a: rounds.append(1) or counted(*a))
+    counts = spark.createDataFrame([("token", 3, 2), ("tokens", 1, 1)], "word string, n long, c long")
+    q.fit(counts)
+    assert len(rounds) == 2
