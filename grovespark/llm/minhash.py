@@ -289,6 +289,8 @@ def _worth(bucket: int, rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     likely = (equal >= WORTH * sig.shape[1]) & (kind[p][:, None] != kind[q][None, :])
     i, j = np.nonzero(np.triu(likely, 1) if within else likely)
     i, j = p[i], q[j]
+    if not len(i):
+        return i, j
     keys = _keys(sig)
     band = int(np.argmax(keys[0] == np.int64(bucket).view(np.uint64)))
     first = np.ones(len(i), bool)
