@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import saved, shared_dir  # noqa: F401
+from ..shared import Scratch, saved, shared_dir  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -21,6 +21,16 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+#: Keys that are broadcast to pick rows: 16 MB of them. Beyond it the rows are picked by a join.
+MOST_IDS = 2_000_000
+
+
+def rows_of(rows: DataFrame, keys: DataFrame, on: list[str], most: int = MOST_IDS, how: str = "left_semi") -> DataFrame:
+    """The rows whose columns `on` are in keys (or are not: how "left_anti"), by a broadcast if keys are few."""
+    keys = keys.select(*on)
+    return rows.join(F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys, on, how)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,15 +5,20 @@ documents weigh less than the rest, so only those need a count: every one of the
 documents, the chunks name candidates, and a second pass counts those exactly.
 
 Samples of two texts agree with the probability of their weighted Jaccard similarity. Bands of samples make buckets,
-and classes grow by likely links first: each member meets its nearest one, then the most central member of its bucket.
-Then all pairs of a bucket whose ends are still in different classes meet, in tasks of bounded size. Every link is
-verified by the exact weighted Jaccard similarity. Exact copies share one representative throughout."""
+and the members of a bucket meet in chunks of bounded size: their samples tell which texts are in a pair worth
+verifying, only those bring their weight vectors, and a matrix product verifies all pairs of a chunk exactly, so no
+pair is ever a row. A bucket of several chunks has two more steps: its most linked text meets every chunk, and then
+chunks meet each other for what is still in different classes. Exact copies share one representative throughout.
+
+Limits of the method: two texts of similarity 0.8 share no bucket with probability 3e-5, and agree on under WORTH of
+their samples with probability 1e-7. The frequency ratio in the weights saturates (SATURATE), so that the weight of a
+word that occurs once doesn't grow with the corpus and large groups of near copies keep the similarity that they have
+in words."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,18 +26,18 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M3, mix64, saved
+from .common import M3, Scratch, mix64, rows_of, saved
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 4
 #: Frequency ratio at which inverse document frequency saturates (C above).
 SATURATE = 64
 #: Members of a bucket that are compared with each other at once.
-CHUNK = 128
-#: Members on either side of a task that compares two parts of a larger bucket.
-MEET = 1024
-#: Shared samples, as a share, from which a pair is worth verifying: over three standard errors below SIMILAR.
-WORTH = 0.65
+CHUNK = 512
+#: Shared samples, as a share, from which a pair is worth verifying: over five standard errors below SIMILAR.
+WORTH = 0.55
+#: Columns of the matrices that a chunk's products take at once.
+WIDE = 4096
 #: Frequent-shingle candidates that are broadcast as hashes (16 MB); beyond it all shingles are counted by a shuffle.
 MOST_CANDIDATES = 2_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -79,22 +84,23 @@ def _slices(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[pa.R
 
 
 def _frequent_in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[np.ndarray] = []
-    docs = size = 0
+    """Shingles in a SATURATE-th of a chunk's documents; the last, short chunk is one with the chunk before it."""
 
-    def found() -> pa.RecordBatch:
+    def found(held: list[np.ndarray], docs: int) -> pa.RecordBatch:
         h, n = np.unique(np.concatenate(held), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(h[n * SATURATE >= docs].view(np.int64))], names=["h"])
 
+    before, held, docs, size = ([], 0), [], 0, 0
     for batch in _slices(batches):
         _, h, _ = shingles(batch.column(0).to_pylist())
         held.append(h)
         docs, size = docs + len(batch), size + len(h)
         if size > 2_000_000:
-            yield found()
-            held, docs, size = [], 0, 0
-    if held:
-        yield found()
+            if before[0]:
+                yield found(*before)
+            before, held, docs, size = (held, docs), [], 0, 0
+    if before[0] or held:
+        yield found(before[0] + held, before[1] + docs)
 
 
 def _count(candidates: Broadcast | None):
@@ -138,11 +144,12 @@ def weights(texts: DataFrame, most: int = MOST_CANDIDATES) -> Weights:
     """texts has one column. Shingles that reach the driver are in at least 1/SATURATE of the documents each, so there
     are at most SATURATE times as many as a document has on average."""
     docs = texts.count()
-    candidates = saved(texts.mapInArrow(_frequent_in_chunks, "h long").distinct(), "candidates")
     shared = None
-    if candidates.count() <= most:
-        found = np.sort(candidates.toPandas()["h"].to_numpy(np.int64).view(np.uint64))
-        shared = texts.sparkSession.sparkContext.broadcast(found)
+    with Scratch() as scratch:
+        candidates = scratch.saved(texts.mapInArrow(_frequent_in_chunks, "h long").distinct(), "candidates")
+        if candidates.limit(most + 1).count() <= most:
+            found = np.sort(candidates.toPandas()["h"].to_numpy(np.int64).view(np.uint64))
+            shared = texts.sparkSession.sparkContext.broadcast(found)
     counts = texts.mapInArrow(_count(shared), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     return Weights([tuple(r) for r in counts.where(F.col("n") * SATURATE > docs).collect()], docs)
 
@@ -153,10 +160,8 @@ class Sampler:
 
     def __init__(self, n: int = BANDS * ROWS, seed: int = 1):
         rng = np.random.default_rng(seed)
-        self.r = rng.gamma(2, 1, 1 << 16)
-        self.log_c = np.log(rng.gamma(2, 1, 1 << 16))
-        self.beta = rng.random(1 << 16)
-        self.inverse = 1 / self.r
+        r, c, beta = rng.gamma(2, 1, 1 << 16), rng.gamma(2, 1, 1 << 16), rng.random(1 << 16)
+        self.r, self.log_c, self.beta, self.inverse = (x.astype(np.float32) for x in (r, np.log(c), beta, 1 / r))
         self.odd = rng.integers(1 << 62, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def sample(self, doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int) -> np.ndarray:
@@ -166,13 +171,13 @@ class Sampler:
             return out
         first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
         sizes = np.diff(np.concatenate((first, [len(h)])))
-        log_w, low = np.log(weight), np.uint64(0xFFFF)
+        log_w, low = np.log(weight).astype(np.float32), np.uint64(0xFFFF)
         for j, odd in enumerate(self.odd):
             x = h * odd
-            i = (x >> np.uint64(48)).astype(np.int64)
-            r, beta = self.r[i], self.beta[((x >> np.uint64(32)) & low).astype(np.int64)]
-            t = np.floor(log_w * self.inverse[i] + beta)
-            a = self.log_c[((x >> np.uint64(16)) & low).astype(np.int64)] - r * (t - beta + 1)
+            i = x >> np.uint64(48)
+            r, beta = self.r.take(i, mode="clip"), self.beta.take((x >> np.uint64(32)) & low, mode="clip")
+            t = np.floor(log_w * self.inverse.take(i, mode="clip") + beta)
+            a = self.log_c.take((x >> np.uint64(16)) & low, mode="clip") - r * (t - beta + np.float32(1))
             least = np.flatnonzero(a == np.repeat(np.minimum.reduceat(a, first), sizes))
             least = least[np.concatenate(([True], doc[least[1:]] != doc[least[:-1]]))]  # ties: the smallest hash
             key = mix64(h[least] + M3 * (t[least].astype(np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)))
@@ -213,19 +218,6 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids, pa.array(key.reshape(-1).view(np.int64))], names=["id", "bucket"])
 
 
-def _agreement(sig: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(sig), len(sig)), np.float32)
-    for column in sig.T:
-        out += column[:, None] == column[None, :]
-    return out / sig.shape[1]
-
-
-def _nearest(score: np.ndarray) -> set[tuple[int, int]]:
-    """Each member and the one it agrees with most, if they are worth verifying."""
-    best = np.argmax(score, axis=1).tolist()
-    return {(min(i, j), max(i, j)) for i, j in enumerate(best) if score[i, j] >= WORTH}
-
-
 def _groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple, pa.Table]]:
     """Runs of rows with equal keys, of input sorted by them."""
     held: list[pa.RecordBatch] = []
@@ -245,35 +237,6 @@ def _groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tup
         yield last, pa.Table.from_batches(held)
 
 
-def _scores(rows: pa.Table) -> np.ndarray:
-    """Share of equal samples of each two rows; 0 of a row with itself."""
-    score = _agreement(np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint32).reshape(len(rows), -1))
-    np.fill_diagonal(score, 0)
-    return score
-
-
-def _pairs_in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each chunk of a bucket: each member's nearest, and (b null) the most central one with its mean agreement."""
-    out: list[tuple] = []
-
-    def batch_of() -> pa.RecordBatch:
-        bucket, a, b, score = zip(*out, strict=True)
-        arrays = [pa.array(bucket, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(score, pa.float32())]
-        return pa.RecordBatch.from_arrays(arrays, names=["bucket", "a", "b", "score"])
-
-    for (bucket, _), rows in _groups(batches, "bucket", "chunk"):
-        ids, score = rows.column("id").to_pylist(), _scores(rows)
-        mean = score.mean(axis=1)
-        out.append((bucket, ids[int(np.argmax(mean))], None, float(mean.max())))
-        if len(ids) > 1:
-            out += [(bucket, min(ids[i], ids[j]), max(ids[i], ids[j]), float(score[i, j])) for i, j in _nearest(score)]
-        if len(out) > 10_000:
-            yield batch_of()
-            out = []
-    if out:
-        yield batch_of()
-
-
 def _worth(bucket: int, rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows in different classes that are worth verifying, across the two sides if there are two. A pair that
     an earlier band holds too is left to that one."""
@@ -299,67 +262,99 @@ def _worth(bucket: int, rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return i[first], j[first]
 
 
+_ROW = {"id": "long", "bucket": "long", "chunk": "long", "class": "long", "side": "int"}
+
+
 def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of a task that occur in a pair worth verifying."""
-    names = ["id", "bucket", "chunk", "class", "side"]
+    """The rows of a chunk that are in a pair worth verifying."""
     for (bucket, _), rows in _groups(batches, "bucket", "chunk"):
-        i, j = _worth(bucket, rows)
-        if len(i):
-            yield from rows.select(names).take(pa.array(np.union1d(i, j))).combine_chunks().to_batches()
+        if len(rows) > 1:
+            i, j = _worth(bucket, rows)
+            if len(i):
+                yield from rows.select(list(_ROW)).take(pa.array(np.union1d(i, j))).combine_chunks().to_batches()
+
+
+def shared_weight(h: np.ndarray, w: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Summed weight of the features that each two vectors have in common; the vectors lie one after another in h, each
+    without repeats, and a feature weighs the same in all."""
+    row = np.repeat(np.arange(len(size)), size)
+    _, first, code, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    often = n > 1  # the others add to the diagonal only
+    number, weight = np.cumsum(often) - 1, w[first[often]]
+    keep = np.flatnonzero(often[code])
+    keep = keep[np.argsort(code[keep], kind="stable")]
+    col, row = number[code[keep]], row[keep]
+    out = np.zeros((len(size), len(size)))
+    for at in range(0, len(weight), WIDE):
+        a, b = np.searchsorted(col, (at, at + WIDE))
+        part = np.zeros((len(size), min(WIDE, len(weight) - at)))
+        part[row[a:b], col[a:b] - at] = 1
+        out += (part * weight[at : at + WIDE]) @ part.T
+    return out
 
 
 def _links_in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Verified links between the classes of a chunk, each making one class of two: every pair worth verifying is, unless
-    its ends are in one class by then."""
-    out: list[tuple[int, int]] = []
+    """Links (a, b) that join the rows of a chunk to classes, a row for each text but one of a class; every pair of the
+    chunk is verified. The most linked text of the chunk comes as (a, null) with its number of links."""
+    out: list[tuple] = []
     for (bucket, _), rows in _groups(batches, "bucket", "chunk"):
-        i, j = _worth(bucket, rows)
-        if not len(i):
-            continue
-        ids, kind = rows.column("id").to_pylist(), rows.column("class").to_numpy().copy()
+        ids, kind = rows.column("id").to_numpy(), rows.column("class").to_numpy()
         h, w = (rows.column(c).combine_chunks() for c in ("h", "w"))
         size = np.diff(h.offsets.to_numpy())
-        cut = np.cumsum(size) - size
-        code, w = np.unique(h.flatten().to_numpy(), return_inverse=True)[1], w.flatten().to_numpy().astype(float)
-        total, own = np.add.reduceat(w, cut), np.zeros(len(w))
-        order = np.argsort(i, kind="stable")
-        i, j = i[order], j[order]
-        for at, to in zip(starts := np.flatnonzero(np.diff(i, prepend=-1)), [*starts[1:], len(i)], strict=True):
-            p, q = int(i[at]), j[at:to]
-            q = q[kind[q] != kind[p]]
-            q = q[np.minimum(total[q], total[p]) >= (SIMILAR - 1e-6) * np.maximum(total[q], total[p])]
-            if not len(q):
-                continue
-            mine = slice(cut[p], cut[p] + size[p])
-            own[code[mine]] = w[mine]
-            first = np.cumsum(size[q]) - size[q]
-            flat = np.arange(size[q].sum()) + np.repeat(cut[q] - first, size[q])
-            low = np.add.reduceat(np.minimum(w[flat], own[code[flat]]), first)
-            own[code[mine]] = 0
-            for x in q[low >= SIMILAR * (total[p] + total[q] - low)].tolist():
-                if kind[x] != kind[p]:
-                    kind[kind == kind[x]] = kind[p]
-                    out.append((ids[p], ids[x]))
-    a, b = zip(*out, strict=True) if out else ((), ())
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        w = w.flatten().to_numpy()
+        total = np.add.reduceat(w, np.cumsum(size) - size)
+        common = shared_weight(h.flatten().to_numpy(), w, size)
+        alike = common >= SIMILAR * (1 - 1e-12) * (total[:, None] + total[None, :] - common)
+        degree = alike.sum(axis=1)
+        alike |= kind[:, None] == kind[None, :]
+        label, n = np.arange(len(ids)), len(ids)
+        while True:  # the least number that links lead to
+            low = np.where(alike, label[None, :], n).min(axis=1)
+            low = np.minimum(low, label)
+            low = low[low]
+            if (low == label).all():
+                break
+            label = low
+        out += [(bucket, int(ids[r]), int(ids[x]), 0) for x, r in enumerate(label.tolist()) if x != r and kind[x] != kind[r]]
+        if degree.max():
+            out.append((bucket, int(ids[degree.argmax()]), None, int(degree.max())))
+        if len(out) > 10_000:
+            yield _link_rows(out)
+            out = []
+    yield _link_rows(out)
+
+
+_LINK = "bucket long, a long, b long, degree long"
+
+
+def _link_rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["bucket", "a", "b", "degree"])
+
+
+def features(texts: list[str | None], model: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, feature, weight): a shingle that occurs n times is n features of its weight, so that the smaller of
+    two frequencies is the number of features in common."""
+    doc, h, tf = shingles(texts)
+    idf = model.of(h, np.ones(len(h)))
+    level = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)
+    doc, h, idf = (np.repeat(x, tf) for x in (doc, h, idf))
+    return doc, np.where(level > 0, mix64(h + M3 * level.astype(np.uint64)), h), idf
 
 
 def _vectors(model: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            doc, h, tf = shingles(batch.column("text").to_pylist())
-            w = model.value.of(h, tf).astype(np.float32)
+            doc, h, w = features(batch.column("text").to_pylist(), model.value)
             cut = np.searchsorted(doc, np.arange(len(batch) + 1)).astype(np.int32)
-            short = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.ListArray.from_arrays(cut, pa.array(short)), pa.ListArray.from_arrays(cut, pa.array(w))], names=["id", "h", "w"]
-            )
+            lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (h.view(np.int64), w)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *lists], names=["id", "h", "w"])
 
     return run
 
 
 def weighted_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> float:
-    """Sum of smaller over sum of larger weights of two vectors, each by distinct shingle."""
+    """Sum of smaller over sum of larger weights of two vectors, each by distinct feature."""
     _, i, j = np.intersect1d(ha, hb, return_indices=True)
     low = float(np.minimum(wa[i], wb[j]).sum(dtype=float))
     total = float(wa.sum(dtype=float) + wb.sum(dtype=float)) - low
@@ -377,37 +372,39 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows (id, class) of every end of a link (a, b): the smallest id that links lead to.
 
     Each round takes the least class among neighbours, then the class of that class; a round is a written table."""
-    both = saved(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
-    state = saved(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("class")).withColumn("class", F.least("id", "class")), "classes")
+    both = scratch.saved(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
+    state = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("class")).withColumn("class", F.least("id", "class"))
+    state = scratch.saved(state, "classes")
     while True:
         seen = both.join(state.select(F.col("id").alias("b"), "class"), "b").groupBy(F.col("a").alias("id")).agg(F.min("class").alias("low"))
-        low = state.join(seen, "id").select("id", F.least("class", "low").alias("low"), F.col("class").alias("was"))
-        low = saved(low, "classes")
+        low = scratch.saved(state.join(seen, "id").select("id", F.least("class", "low").alias("low"), F.col("class").alias("was")), "classes")
         jump = state.select(F.col("id").alias("low"), F.col("class").alias("far"))
-        after = saved(low.join(jump, "low", "left").select("id", F.least("low", "far").alias("class"), "was"), "classes")
+        after = scratch.saved(low.join(jump, "low", "left").select("id", F.least("low", "far").alias("class"), "was"), "classes")
+        scratch.drop(low, state)
         if not after.where("class <> was").limit(1).count():
-            return after.select("id", "class")
-        state = after.select("id", "class")
+            scratch.drop(both)
+            return after
+        state = after
 
 
-def _meetings(rows: DataFrame, own: DataFrame) -> DataFrame:
+def _meetings(rows: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows (id, bucket, chunk, class, side, sig) that bring any two of a bucket's members of different classes into one
-    task (chunk), of about MEET members on each side.
+    task (chunk), of about CHUNK members on each side.
 
     Members of a bucket's largest class don't meet each other, so they are sent only to the parts of the others."""
     sizes = rows.groupBy("bucket", "class").count()
     tops = sizes.groupBy("bucket").agg(F.max(F.struct("count", "class")).alias("top"), F.sum("count").alias("n")).where("n > top.count")
     tops = tops.select(
-        "bucket", F.col("top.class").alias("top"), F.ceil(F.col("top.count") / MEET).alias("tops"),
-        F.ceil((F.col("n") - F.col("top.count")) / MEET).alias("rest"),
+        "bucket", F.col("top.class").alias("top"), F.ceil(F.col("top.count") / CHUNK).alias("tops"),
+        F.ceil((F.col("n") - F.col("top.count")) / CHUNK).alias("rest"),
     )
     is_top = F.col("class") == F.col("top")
-    rows = rows.join(saved(tops, "tops"), "bucket").join(own, "id")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "bucket"), F.when(is_top, F.col("tops")).otherwise(F.col("rest"))))
+    rows = rows.join(scratch.saved(tops, "tops"), "bucket").join(own, "id")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.when(is_top, F.col("tops")).otherwise(F.col("rest"))))
 
     def task(kind: int, i, j):
         return F.lit(kind << 60) + F.shiftleft(i, 30) + j
@@ -423,79 +420,89 @@ def _meetings(rows: DataFrame, own: DataFrame) -> DataFrame:
     return rows.select("id", "bucket", "class", "sig", F.explode(to).alias("to")).select("id", "bucket", "to.chunk", "class", "to.side", "sig")
 
 
+def _by_chunk(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "id")
+
+
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, class_id) of every document row; the class is named by its smallest id, which must be a long.
 
     Documents whose words are equal are one text. Texts of weighted Jaccard similarity 0.8 and more are linked, and
     classes are what links connect. Texts without words (null, empty, blank) are classes of their own. Rows that
-    share an id count as one document. A null id has a null class. No documents give no rows.
+    share an id count as one document. A null id has a null class. No documents give no rows. A text of any length is
+    one vector; other columns of the documents, whatever their names, play no part.
 
-    All pairs that share a bucket and agree on WORTH of their samples are verified, unless other links join them first.
-    In a bucket of over CHUNK texts the rows that are sent grow with the square of those outside its largest class."""
+    A bucket of over CHUNK texts sends rows that grow with the square of those outside its largest class."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
     model = spark.sparkContext.broadcast(weights(texts.select("text")))
-    sketches = saved(texts.mapInArrow(_sketch(model), "id long, copy binary, sig binary"), "sketches")
-    reps = sketches.where("copy is not null").groupBy("copy").agg(F.min("id").alias("id"), F.first("sig").alias("sig"))
-    reps = saved(reps, "representatives")
-    buckets = saved(reps.select("id", "sig").mapInArrow(_bands, "id long, bucket long"), "bands")
-    shared = buckets.groupBy("bucket").count().where("count > 1")
-    deal = F.pmod(F.xxhash64("id", "bucket"), F.ceil(F.col("count") / CHUNK)).cast("int")
-    shared = saved(shared, "buckets")
-    members = saved(buckets.join(shared, "bucket").select("id", "bucket", deal.alias("chunk"), (F.col("count") > CHUNK).alias("big")), "members")
-    own = reps.select("id", "sig")
-
-    def by_chunk(rows: DataFrame) -> DataFrame:
-        return rows.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "id")
-
-    schema = "bucket long, a long, b long, score float"
-    met = saved(by_chunk(members.join(own, "id")).mapInArrow(_pairs_in_chunks, schema), "met")
-    pivots = saved(met.where("b is null").groupBy("bucket").agg(F.max_by("a", F.struct("score", "a")).alias("pivot")), "pivots")
-    to_pivot = members.where("big").join(pivots, "bucket").where("id <> pivot")
-    to_pivot = to_pivot.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-
-    # the texts that occur in a pair, as weight vectors
-    involved = members.select("id").distinct()
-    vectors = saved(texts.join(involved, "id").mapInArrow(_vectors(model), "id long, h array<int>, w array<float>"), "vectors")
-    a, b = (vectors.select(F.col("id").alias(x), F.col("h").alias("h" + x), F.col("w").alias("w" + x)) for x in "ab")
-
-    def verified(some: DataFrame) -> DataFrame:
-        return saved(some.join(a, "a").join(b, "b").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(_verify, "a long, b long"), "verified")
-
-    def across(some: DataFrame, found: DataFrame) -> DataFrame:
-        """The pairs whose ends are in different classes so far."""
-        for x in "ab":
-            some = some.join(found.select(F.col("id").alias(x), F.col("class").alias("c" + x)), x, "left")
-        return some.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
-
-    # each text and its nearest first, then the most central texts of large buckets, then what buckets hold between classes
-    ends = met.where("b is not null").select(F.explode(F.array("a", "b")).alias("id"), "a", "b", "score")
-    best = ends.groupBy("id").agg(F.max(F.struct("score", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    links = [verified(best)]
-    found = components(links[0])
-    links.append(verified(saved(across(to_pivot, found), "central")))
-    found = components(links[0].union(links[1]))
-    labelled = saved(members.join(found, "id", "left").select("id", "bucket", F.col("chunk").cast("long").alias("chunk"), F.coalesce("class", "id").alias("class"), "big"), "labelled")
-    mixed = labelled.where("not big").groupBy("bucket", "chunk").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").drop("x", "y")
-    names = ["id", "bucket", "chunk", "class", "side"]
-    mixed = labelled.join(saved(mixed, "mixed"), ["bucket", "chunk"]).withColumn("side", F.lit(0)).select(names)
-    met = by_chunk(_meetings(labelled.where("big"), own)).mapInArrow(_involved, "id long, bucket long, chunk long, class long, side int")
-    mixed = mixed.union(saved(met, "involved")).join(own, "id").join(vectors, "id")
-    links.append(saved(by_chunk(mixed).mapInArrow(_links_in_chunks, "a long, b long").distinct(), "more"))
-    found = saved(components(reduce(DataFrame.union, links)), "found")
-
-    rows = sketches.select("id", "copy").join(reps.select("copy", F.col("id").alias("rep")), "copy", "left")
-    rows = rows.select("id", F.coalesce("rep", "id").alias("rep")).join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    rows = rows.select(F.col("id").alias(id_col), F.coalesce("class", "rep").alias("class_id"))
+    with Scratch() as scratch:
+        sketches = scratch.saved(texts.mapInArrow(_sketch(model), "id long, copy binary, sig binary"), "sketches")
+        reps = sketches.where("copy is not null").groupBy("copy").agg(F.min("id").alias("id"), F.first("sig").alias("sig"))
+        reps = scratch.saved(reps, "representatives")
+        own = reps.select("id", "sig")
+        links = _links(texts, own, model, scratch)
+        found = components(links, scratch).select("id", "class") if links is not None else reps.select("id", F.col("id").alias("class"))
+        rows = sketches.select("id", "copy").join(reps.select("copy", F.col("id").alias("rep")), "copy", "left")
+        rows = rows.select("id", F.coalesce("rep", "id").alias("rep")).join(found.withColumnRenamed("id", "rep"), "rep", "left")
+        rows = saved(rows.select(F.col("id").alias(id_col), F.coalesce("class", "rep").alias("class_id")), "classes")
     return rows.unionByName(docs.where(F.col(id_col).isNull()).select(F.col(id_col).cast("long"), F.lit(None).cast("long").alias("class_id")))
 
 
+def _links(texts: DataFrame, own: DataFrame, model: Broadcast, scratch: Scratch) -> DataFrame | None:
+    """Verified links (a, b) between texts of different words, enough of them to connect what is alike; None if no two
+    texts share a bucket."""
+    buckets = own.mapInArrow(_bands, "id long, bucket long")
+    shared = scratch.saved(buckets.groupBy("bucket").count().where("count > 1"), "buckets")
+    parts = F.ceil(F.col("count") / CHUNK)
+    members = buckets.join(shared, "bucket").select("id", "bucket", F.pmod(F.xxhash64("id"), parts).alias("chunk"), (parts > 1).alias("big"))
+    members = scratch.saved(members, "members")
+    alone = members.select("id", "bucket", "chunk", F.col("id").alias("class"), F.lit(0).alias("side"))
+    schema = ", ".join(f"{k} {v}" for k, v in _ROW.items())
+    involved = scratch.saved(_by_chunk(alone.join(own, "id")).mapInArrow(_involved, schema), "involved")
+    if not involved.limit(1).count():
+        return None
+
+    def vectors_of(rows: DataFrame) -> DataFrame:
+        some = rows_of(texts, rows.select("id").distinct(), ["id"])
+        return scratch.saved(some.mapInArrow(_vectors(model), "id long, h array<long>, w array<double>"), "vectors")
+
+    def linked(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+        return scratch.saved(_by_chunk(rows.join(vectors, "id")).mapInArrow(_links_in_chunks, _LINK), "met")
+
+    vectors = vectors_of(involved)
+    met = linked(involved, vectors)
+    links = met.where("b is not null").select("a", "b")
+    large = members.where("big")
+    if not large.limit(1).count():
+        return links
+
+    # buckets of several chunks: each text and the most linked text of most of its buckets, then what is still apart
+    scratch.drop(vectors)
+    large = scratch.saved(large, "large")
+    pivots = met.where("b is null").groupBy("bucket").agg(F.max_by("a", F.struct("degree", "a")).alias("pivot"))
+    to = large.join(pivots, "bucket").where("id <> pivot").groupBy("id", "pivot").count()
+    to = to.groupBy("id").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot"))
+    to = scratch.saved(to.select(F.col("pivot").alias("a"), F.col("id").alias("b")), "central")
+    vectors = vectors_of(to.select(F.explode(F.array("a", "b")).alias("id")))
+    a, b = (vectors.select(F.col("id").alias(x), F.col("h").alias("h" + x), F.col("w").alias("w" + x)) for x in "ab")
+    central = to.join(a, "a").join(b, "b").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(_verify, "a long, b long")
+    links = scratch.saved(links.union(central).distinct(), "verified")
+    scratch.drop(vectors)
+    found = components(links, scratch)
+    labelled = large.join(found, "id", "left").select("id", "bucket", F.coalesce("class", "id").alias("class"))
+    meetings = _meetings(scratch.saved(labelled, "labelled"), own, scratch)
+    involved = scratch.saved(_by_chunk(meetings).mapInArrow(_involved, schema), "involved")
+    more = linked(involved, vectors_of(involved)).where("b is not null").select("a", "b")
+    return scratch.saved(links.union(more), "more")
+
+
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns kept, whose id is their class's smallest; rows that share that id all stay, and so do
-    rows without an id."""
+    """The documents, all columns kept whatever their names, whose id is their class's smallest; rows that share that id
+    all stay, and so do rows without an id."""
     found = classes(docs, id_col=id_col, text_col=text_col)
-    kept = saved(found.where(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("__kept")).distinct(), "kept")
-    return docs.join(kept, docs[id_col] == F.col("__kept"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    kept = found.where(F.col(id_col) == F.col("class_id")).select(id_col).distinct()
+    return docs.join(kept, id_col, "left_semi").select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op5(docs: DataFrame) -> DataFrame:
