@@ -11,7 +11,7 @@ pair is ever a row. A bucket of several chunks has two more steps: its most link
 chunks meet each other for what is still in different classes. Exact copies share one representative throughout.
 
 Limits of the method: two texts of similarity 0.8 share no bucket with probability 3e-5, and agree on under WORTH of
-their samples with probability 1e-7. The frequency ratio in the weights saturates (SATURATE), so that the weight of a
+their samples with probability 1e-5. The frequency ratio in the weights saturates (SATURATE), so that the weight of a
 word that occurs once doesn't grow with the corpus and large groups of near copies keep the similarity that they have
 in words."""
 
@@ -34,8 +34,8 @@ BANDS, ROWS = 20, 4
 SATURATE = 64
 #: Members of a bucket that are compared with each other at once.
 CHUNK = 512
-#: Shared samples, as a share, from which a pair is worth verifying: over five standard errors below SIMILAR.
-WORTH = 0.55
+#: Shared samples, as a share, from which a pair is worth verifying: over four standard errors below SIMILAR.
+WORTH = 0.6
 #: Columns of the matrices that a chunk's products take at once.
 WIDE = 4096
 #: Frequent-shingle candidates that are broadcast as hashes (16 MB); beyond it all shingles are counted by a shuffle.
@@ -293,35 +293,37 @@ def shared_weight(h: np.ndarray, w: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def _links_in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links_in_chunks(model: Broadcast):
     """Links (a, b) that join the rows of a chunk to classes, a row for each text but one of a class; every pair of the
     chunk is verified. The most linked text of the chunk comes as (a, null) with its number of links."""
-    out: list[tuple] = []
-    for (bucket, _), rows in _groups(batches, "bucket", "chunk"):
-        ids, kind = rows.column("id").to_numpy(), rows.column("class").to_numpy()
-        h, w = (rows.column(c).combine_chunks() for c in ("h", "w"))
-        size = np.diff(h.offsets.to_numpy())
-        w = w.flatten().to_numpy()
-        total = np.add.reduceat(w, np.cumsum(size) - size)
-        common = shared_weight(h.flatten().to_numpy(), w, size)
-        alike = common >= SIMILAR * (1 - 1e-12) * (total[:, None] + total[None, :] - common)
-        degree = alike.sum(axis=1)
-        alike |= kind[:, None] == kind[None, :]
-        label, n = np.arange(len(ids)), len(ids)
-        while True:  # the least number that links lead to
-            low = np.where(alike, label[None, :], n).min(axis=1)
-            low = np.minimum(low, label)
-            low = low[low]
-            if (low == label).all():
-                break
-            label = low
-        out += [(bucket, int(ids[r]), int(ids[x]), 0) for x, r in enumerate(label.tolist()) if x != r and kind[x] != kind[r]]
-        if degree.max():
-            out.append((bucket, int(ids[degree.argmax()]), None, int(degree.max())))
-        if len(out) > 10_000:
-            yield _link_rows(out)
-            out = []
-    yield _link_rows(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for (bucket, _), rows in _groups(batches, "bucket", "chunk"):
+            ids, kind = rows.column("id").to_numpy(), rows.column("class").to_numpy()
+            n, h, w = features(*(rows.column(c).combine_chunks() for c in ("h", "tf")), model.value)
+            size = np.bincount(n, minlength=len(ids))
+            total = np.bincount(n, w, len(ids))
+            common = shared_weight(h, w, size)
+            alike = common >= SIMILAR * (1 - 1e-12) * (total[:, None] + total[None, :] - common)
+            degree = alike.sum(axis=1)
+            alike |= kind[:, None] == kind[None, :]
+            label = np.arange(len(ids))
+            while True:  # the least number that links lead to
+                low = np.minimum(np.where(alike, label[None, :], len(ids)).min(axis=1), label)
+                low = low[low]
+                if (low == label).all():
+                    break
+                label = low
+            out += [(bucket, int(ids[r]), int(ids[x]), 0) for x, r in enumerate(label.tolist()) if x != r and kind[x] != kind[r]]
+            if degree.max():
+                out.append((bucket, int(ids[degree.argmax()]), None, int(degree.max())))
+            if len(out) > 10_000:
+                yield _link_rows(out)
+                out = []
+        yield _link_rows(out)
+
+    return run
 
 
 _LINK = "bucket long, a long, b long, degree long"
@@ -332,25 +334,25 @@ def _link_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["bucket", "a", "b", "degree"])
 
 
-def features(texts: list[str | None], model: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, feature, weight): a shingle that occurs n times is n features of its weight, so that the smaller of
+def features(h: pa.ListArray, tf: pa.ListArray, model: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row number, feature, weight): a shingle that occurs n times is n features of its weight, so that the smaller of
     two frequencies is the number of features in common."""
-    doc, h, tf = shingles(texts)
+    row = np.repeat(np.arange(len(h)), np.diff(h.offsets.to_numpy()))
+    h, tf = h.flatten().to_numpy().view(np.uint64), tf.flatten().to_numpy()
     idf = model.of(h, np.ones(len(h)))
-    level = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)
-    doc, h, idf = (np.repeat(x, tf) for x in (doc, h, idf))
-    return doc, np.where(level > 0, mix64(h + M3 * level.astype(np.uint64)), h), idf
-
+    if len(tf) and tf.max() > 1:
+        level = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)
+        row, h, idf = (np.repeat(x, tf) for x in (row, h, idf))
+        h = np.where(level > 0, mix64(h + M3 * level.astype(np.uint64)), h)
+    return row, h, idf
 
-def _vectors(model: Broadcast):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            doc, h, w = features(batch.column("text").to_pylist(), model.value)
-            cut = np.searchsorted(doc, np.arange(len(batch) + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (h.view(np.int64), w)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *lists], names=["id", "h", "w"])
 
-    return run
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
+        doc, h, tf = shingles(batch.column("text").to_pylist())
+        cut = np.searchsorted(doc, np.arange(len(batch) + 1)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (h.view(np.int64), tf.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *lists], names=["id", "h", "tf"])
 
 
 def weighted_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> float:
@@ -361,15 +363,19 @@ def weighted_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndar
     return low / total if total else 0.0
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        flat = []
-        for name in ("ha", "wa", "hb", "wb"):
-            column = batch.column(name)
-            values, cut = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            flat.append([values[a - cut[0] : b - cut[0]] for a, b in zip(cut[:-1], cut[1:], strict=True)])
-        ok = [weighted_jaccard(*v) >= SIMILAR for v in zip(*flat, strict=True)]
-        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+def _verify(model: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _slices([whole], 512):
+                sides = []
+                for x in "ab":
+                    n, h, w = features(batch.column("h" + x), batch.column("tf" + x), model.value)
+                    cut = np.searchsorted(n, np.arange(len(batch) + 1))
+                    sides.append([(h[i:j], w[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)])
+                ok = [weighted_jaccard(*a, *b) >= SIMILAR for a, b in zip(*sides, strict=True)]
+                yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -440,10 +446,12 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
         sketches = scratch.saved(texts.mapInArrow(_sketch(model), "id long, copy binary, sig binary"), "sketches")
         reps = sketches.where("copy is not null").groupBy("copy").agg(F.min("id").alias("id"), F.first("sig").alias("sig"))
         reps = scratch.saved(reps, "representatives")
+        copies = scratch.saved(sketches.select("id", "copy"), "copies")
+        scratch.drop(sketches)
         own = reps.select("id", "sig")
         links = _links(texts, own, model, scratch)
         found = components(links, scratch).select("id", "class") if links is not None else reps.select("id", F.col("id").alias("class"))
-        rows = sketches.select("id", "copy").join(reps.select("copy", F.col("id").alias("rep")), "copy", "left")
+        rows = copies.join(reps.select("copy", F.col("id").alias("rep")), "copy", "left")
         rows = rows.select("id", F.coalesce("rep", "id").alias("rep")).join(found.withColumnRenamed("id", "rep"), "rep", "left")
         rows = saved(rows.select(F.col("id").alias(id_col), F.coalesce("class", "rep").alias("class_id")), "classes")
     return rows.unionByName(docs.where(F.col(id_col).isNull()).select(F.col(id_col).cast("long"), F.lit(None).cast("long").alias("class_id")))
@@ -465,10 +473,10 @@ def _links(texts: DataFrame, own: DataFrame, model: Broadcast, scratch: Scratch)
 
     def vectors_of(rows: DataFrame) -> DataFrame:
         some = rows_of(texts, rows.select("id").distinct(), ["id"])
-        return scratch.saved(some.mapInArrow(_vectors(model), "id long, h array<long>, w array<double>"), "vectors")
+        return scratch.saved(some.mapInArrow(_vectors, "id long, h array<long>, tf array<int>"), "vectors")
 
     def linked(rows: DataFrame, vectors: DataFrame) -> DataFrame:
-        return scratch.saved(_by_chunk(rows.join(vectors, "id")).mapInArrow(_links_in_chunks, _LINK), "met")
+        return scratch.saved(_by_chunk(rows.join(vectors, "id")).mapInArrow(_links_in_chunks(model), _LINK), "met")
 
     vectors = vectors_of(involved)
     met = linked(involved, vectors)
@@ -485,8 +493,8 @@ def _links(texts: DataFrame, own: DataFrame, model: Broadcast, scratch: Scratch)
     to = to.groupBy("id").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot"))
     to = scratch.saved(to.select(F.col("pivot").alias("a"), F.col("id").alias("b")), "central")
     vectors = vectors_of(to.select(F.explode(F.array("a", "b")).alias("id")))
-    a, b = (vectors.select(F.col("id").alias(x), F.col("h").alias("h" + x), F.col("w").alias("w" + x)) for x in "ab")
-    central = to.join(a, "a").join(b, "b").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(_verify, "a long, b long")
+    a, b = (vectors.select(F.col("id").alias(x), F.col("h").alias("h" + x), F.col("tf").alias("tf" + x)) for x in "ab")
+    central = to.join(a, "a").join(b, "b").select("a", "b", "ha", "tfa", "hb", "tfb").mapInArrow(_verify(model), "a long, b long")
     links = scratch.saved(links.union(central).distinct(), "verified")
     scratch.drop(vectors)
     found = components(links, scratch)

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from grovespark.llm import minhash as m
 
 
@@ -114,3 +115,18 @@ def test_pairs_inside_large_buckets_are_found(spark):
     assert m.weighted_jaccard(*v[0], *v[1]) > 0.81 and m.weighted_jaccard(*v[0], *v[2]) < 0.78
     got = {r["doc_id"]: r["class_id"] for r in m.op5(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {n: n - (n % 24 == 1) for n in range(2400)}
+
+
+def test_matrix_products_equal_pairs(spark):
+    rows = corpus(sizes=(2, 9, 40))
+    texts = [t for _, t in rows if t and t.strip()] + ["a b c d e " * 9, "a b c d e " * 7]
+    model = m.weights(spark.createDataFrame([(t,) for t in texts], "text string"))
+    doc, h, tf = m.shingles(texts)
+    cut = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
+    n, f, w = m.features(pa.ListArray.from_arrays(cut, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(tf)), model)
+    total, common = np.bincount(n, w), m.shared_weight(f, w, np.bincount(n))
+    for i in range(0, len(texts), 5):
+        for j in range(i):
+            low = common[i, j]
+            want = m.weighted_jaccard(h[doc == i], model.of(h, tf)[doc == i], h[doc == j], model.of(h, tf)[doc == j])
+            assert abs(low / (total[i] + total[j] - low) - want) < 1e-9
