@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import M3, mix64, saved
+from .common import MOST_IDS, M3, Scratch, mix64, rows_of, saved
 
 WIDTH, GRAM = 400, 200
 SIDE = WIDTH - GRAM
@@ -30,9 +31,9 @@ SYMBOL = 50
 #: Differing contexts of an anchor that are merged in one task; those of other anchors are counted by window.
 MOST_CONTEXTS = 2048
 #: Context bytes merged at once, and shards they are split into.
-BATCH_BYTES, SHARDS = 1 << 20, 8
-#: Documents whose ids are broadcast to pick their rows; beyond it the rows are picked by a join.
-MOST_IDS = 2_000_000
+BATCH_BYTES, SHARDS = 1 << 19, 8
+#: Bytes of a text whose anchors are looked for at once, and of texts that a task holds between rows it hands on.
+SEGMENT, HELD_BYTES = 1 << 19, 1 << 21
 _BASE = 0xD1342543DE82EF95
 _power: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -44,7 +45,7 @@ class Hashes:
         n = len(data) + 1
         if len(_power[0]) < n:
             for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-                steps = np.full(max(n, 1 << 20), b, np.uint64)
+                steps = np.full(max(n, 1 << 16), b, np.uint64)
                 steps[0] = 1
                 _power[k] = np.cumprod(steps)
         self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + M3) * _power[0][: n - 1])))
@@ -64,15 +65,34 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(position, anchor hash, context hash, context start, context end) of each anchor of one text of WIDTH bytes or
-    more. Among equal hashes the first in a window is its anchor."""
-    hashes, n = Hashes(data), len(data)
-    at = np.arange(n - GRAM + 1)
-    h = hashes.of(at, at + GRAM)
-    order = (h & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
-    pos = np.unique(_sliding_min(order, SIDE + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    lo, hi = np.maximum(pos - SIDE, 0), np.minimum(pos + WIDTH, n)
-    context = mix64(hashes.of(lo, hi) + M3 * (pos - lo).astype(np.uint64) + (hi - pos).astype(np.uint64))
-    return pos, h[pos], context, lo, hi
+    more. Among equal hashes the first in a window is its anchor. The text is read in segments."""
+    parts, last, n = [], -1, len(data)
+    for s in range(0, n - WIDTH + 1, SEGMENT):
+        base = max(0, s - SIDE)
+        hashes = Hashes(data[base : s + SEGMENT + 2 * WIDTH])
+        at = np.arange(s, min(s + SEGMENT, n - WIDTH + 1) + SIDE) - base
+        h = hashes.of(at, at + GRAM)
+        order = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(at), dtype=np.uint64)
+        found = np.unique(_sliding_min(order, SIDE + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        pos = at[found] + base
+        pos, h = pos[pos > last], h[found][pos > last]
+        if len(pos):
+            lo, hi, last = np.maximum(pos - SIDE, 0), np.minimum(pos + WIDTH, n), pos[-1]
+            context = mix64(hashes.of(lo - base, hi - base) + M3 * (pos - lo).astype(np.uint64) + (hi - pos).astype(np.uint64))
+            parts.append((pos, h, context, lo, hi))
+    return tuple(map(np.concatenate, zip(*parts, strict=True)))
+
+
+def _slices(batch: pa.RecordBatch, column: str, most: int = HELD_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about `most` bytes of a text column, a row at least."""
+    if not len(batch):
+        return
+    edge = np.frombuffer(batch.column(column).cast(pa.large_string()).buffers()[1], np.int64)[batch.column(column).offset :][: len(batch) + 1]
+    start = 0
+    while start < len(batch):
+        stop = max(start + 1, int(np.searchsorted(edge, edge[start] + most)))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def _raw(text: str | None) -> bytes:
@@ -80,24 +100,20 @@ def _raw(text: str | None) -> bytes:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["pos", "anchor", "context", "lo", "hi"]
+    names = ["id", "th", "anchor", "context", "lo", "hi"]
     for whole in batches:
-        for at in range(0, len(whole), 256):
-            batch = whole.slice(at, 256)
+        for batch in _slices(whole, "text", SEGMENT):
             rows, found = [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
                 raw = _raw(text)
                 if len(raw) >= WIDTH:
-                    found.append(anchors(np.frombuffer(raw, np.uint8)))
+                    found.append(anchors(np.frombuffer(raw, np.uint8))[1:])
                     rows.append(np.full(len(found[-1][0]), row))
-            if not found:
-                continue
-            take = pa.array(np.concatenate(rows))
-            columns = [np.concatenate(c) for c in zip(*found, strict=True)]
-            columns = [c.view(np.int64) if c.dtype == np.uint64 else c for c in columns]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(take), batch.column("th").take(take), *map(pa.array, columns)], names=["id", "th", *names]
-            )
+            if found:
+                take = pa.array(np.concatenate(rows))
+                anchor, context, lo, hi = (np.concatenate(c) for c in zip(*found, strict=True))
+                columns = [anchor.view(np.int64), context.view(np.int64), lo.astype(np.int32), hi.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("th").take(take), *map(pa.array, columns)], names=names)
 
 
 def _stable_order(c: np.ndarray) -> np.ndarray:
@@ -195,20 +211,24 @@ def _spans(offsets: np.ndarray) -> list[tuple[int, int]]:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each open context of each document, with its bytes."""
-    for batch in batches:
-        rows, out = [], []
-        for row, (text, open_) in enumerate(zip(batch.column("text").to_pylist(), batch.column("open").to_pylist(), strict=True)):
-            raw = _raw(text)
-            for o in open_:
-                rows.append(row)
-                out.append((o["anchor"], o["lo"], o["many"], o["hot"], raw[o["lo"] : o["hi"]]))
-        if out:
-            take, columns = pa.array(rows), list(zip(*out, strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(take), batch.column("th").take(take), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                names=["id", "th", "anchor", "lo", "many", "hot", "bytes"],
-            )
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
+
+    def rows_of_some(out: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=["id", "th", "anchor", "lo", "many", "hot", "bytes"])
+
+    out: list[tuple] = []
+    for whole in batches:
+        for batch in _slices(whole, "text"):
+            for doc, th, text, open_ in zip(*(batch.column(c).to_pylist() for c in ("id", "th", "text", "open")), strict=True):
+                raw = _raw(text)
+                for o in open_:
+                    out.append((doc, th, o["anchor"], o["lo"], o["many"], o["hot"], raw[o["lo"] : o["hi"]]))
+                    if len(out) * 3 * SIDE >= HELD_BYTES:
+                        yield rows_of_some(out)
+                        out = []
+    if out:
+        yield rows_of_some(out)
 
 
 def _merge_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +251,7 @@ def _merge_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         a, b = zip(*spans, strict=True) if spans else ((), ())
         ids = table.select(["id", "th"]).take(take).combine_chunks()
         columns = [ids.column(k).combine_chunks() for k in ("id", "th")]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["id", "th", "a", "b"])
+        return pa.RecordBatch.from_arrays([*columns, pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["id", "th", "a", "b"])
 
     for batch in batches:
         key = batch.column("anchor").to_numpy()
@@ -260,58 +280,62 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 start.append(s + lo)
             take = pa.array(np.concatenate(rows))
             arrays = [batch.column(k).take(take) for k in ("id", "th", "many")]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.concatenate(h)), pa.array(np.concatenate(start))], names=["id", "th", "many", "h", "a"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.concatenate(h)), pa.array(np.concatenate(start).astype(np.int32))], names=["id", "th", "many", "h", "a"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            raw, merged = _raw(text), []
-            for a, b in sorted((s["a"], s["b"]) for s in spans):
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
-                else:
-                    merged.append([a, b])
-            edges = [0, *(x for s in merged for x in s), len(raw)]
-            kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            out.append((len(raw), len(raw) - len(kept), [{"start": a, "end": b} for a, b in merged], sha256(kept).hexdigest(), kept))
-        n, gone, spans, sha, kept = zip(*out, strict=True) if out else ((),) * 5
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        arrays = [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, kind), pa.array(sha, pa.string()), pa.array(kept, pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays], names=["id", "n_bytes", "n_removed", "removed", "kept_sha256", "kept"])
-
-
-def _of(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The documents with the columns of keys, for those of its (id, th); a few keys are broadcast."""
-    if keys.count() <= MOST_IDS:
-        docs = docs.join(F.broadcast(keys.select("id", "th")), ["id", "th"], "left_semi")
-    return docs.join(keys, ["id", "th"])
-
-
-def repeats(docs: DataFrame) -> DataFrame:
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _cut(bytes_kept: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _slices(whole, "text"):
+                out = []
+                for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                    raw, merged = _raw(text), []
+                    for a, b in sorted((s["a"], s["b"]) for s in spans or ()):
+                        if merged and a <= merged[-1][1]:
+                            merged[-1][1] = max(merged[-1][1], b)
+                        else:
+                            merged.append([a, b])
+                    edges = [0, *(x for s in merged for x in s), len(raw)]
+                    kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                    sha = sha256(kept).hexdigest()
+                    out.append((len(raw), len(raw) - len(kept), [{"start": a, "end": b} for a, b in merged], sha, kept if bytes_kept else None))
+                kinds, names = [pa.int64(), pa.int64(), _SPANS, pa.string(), pa.binary()], ["n_bytes", "n_removed", "removed", "kept_sha256", "kept"]
+                arrays = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("own"), *arrays], names=["own", *names])
+
+    return run
+
+
+def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows (id, th, spans array<struct<a,b>>) of documents (id, th, text) with bytes in repeated windows."""
-    names = "id {}, th long, ".format(docs.schema["id"].dataType.simpleString())
-    docs = docs.where("id is not null")
-    found = docs.mapInArrow(_anchors, names + "pos long, anchor long, context long, lo long, hi long")
-    found = saved(found.select("id", "th", "anchor", "context", "lo", "hi"), "anchors")
+    names = "id long, th int, "
+    found = scratch.saved(docs.mapInArrow(_anchors, names + "anchor long, context long, lo int, hi int"), "anchors")
     firsts = [F.first(c).alias(c) for c in ("id", "th", "lo", "hi")]
-    contexts = saved(found.groupBy("anchor", "context").agg(F.count("*").alias("n"), *firsts), "contexts")
+    contexts = scratch.saved(found.groupBy("anchor", "context").agg(F.count("*").alias("n"), *firsts), "contexts")
     equal = contexts.where("n > 1").select("anchor", "context")
     whole = found.join(equal, ["anchor", "context"]).select("id", "th", F.col("lo").alias("a"), F.col("hi").alias("b"))
+    whole = scratch.saved(whole, "whole")
+    scratch.drop(found)
 
-    apart = saved(contexts.groupBy("anchor").agg(F.count("*").alias("differ")).where("differ > 1"), "apart")
+    apart = scratch.saved(contexts.groupBy("anchor").agg(F.count("*").alias("differ")).where("differ > 1"), "apart")
     open_ = contexts.join(apart, "anchor").select(
         "id", "th", F.struct("anchor", "lo", "hi", (F.col("n") > 1).alias("many"), (F.col("differ") > MOST_CONTEXTS).alias("hot")).alias("o")
     )
-    open_ = saved(open_.groupBy("id", "th").agg(F.collect_list("o").alias("open")), "open")
-    schema = names + "anchor long, lo long, many boolean, hot boolean, bytes binary"
-    held = saved(_of(docs, open_).mapInArrow(_contexts, schema), "held")
-    cold = held.where("not hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_merge_partition, names + "a long, b long")
-    windows = held.where("hot").mapInArrow(_windows, names + "many boolean, h long, a long")
+    open_ = scratch.saved(open_.groupBy("id", "th").agg(F.collect_list("o").alias("open")), "open")
+    scratch.drop(contexts)
+    schema = names + "anchor long, lo int, many boolean, hot boolean, bytes binary"
+    # rows that share id and text are one here: their contexts were counted before
+    texts = rows_of(docs, open_, ["id", "th"]).join(open_, ["id", "th"])
+    held = scratch.saved(texts.mapInArrow(_contexts, schema), "held")
+    scratch.drop(open_)
+    cold = held.where("not hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_merge_partition, names + "a int, b int")
+    windows = held.where("hot").mapInArrow(_windows, names + "many boolean, h long, a int")
     placed = windows.select("h", F.xxhash64("id", "th", "a").alias("place"), "many")
     often = placed.groupBy("h").agg(F.min("place").alias("x"), F.max("place").alias("y"), F.max("many").alias("many"))
-    often = saved(often.where("many or x <> y").select("h"), "windows")
+    often = scratch.saved(often.where("many or x <> y").select("h"), "windows")
     hot = windows.where("not many").join(often, "h").select("id", "th", "a", (F.col("a") + WIDTH).alias("b"))
     spans = whole.unionByName(cold).unionByName(hot).distinct()
     return spans.groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
@@ -322,19 +346,26 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", by
     offsets are UTF-8 bytes, kept the remaining bytes.
 
     A byte goes if a string of WIDTH bytes around it starts at another place too, in the same document or another.
-    Null texts count as empty. Rows that share id and text are separate occurrences and are treated alike; rows that
-    share only the id are told apart by the text's 32-bit hash. Rows without an id take no part and come back whole. No
-    documents give no rows."""
-    texts = docs.select(F.col(id_col).alias("id"), F.hash(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("th"), F.col(text_col).alias("text"))
-    kind = texts.schema["id"].dataType.simpleString()
-    found = saved(repeats(texts), "spans")
+    Null texts count as empty. Every row takes part, those without an id too; rows that share id and text are separate
+    occurrences and are treated alike; rows that share only the id are told apart by the text's 32-bit hash. A text of any
+    length is read in segments. Other columns, whatever their names, play no part. No documents give no rows."""
+    kind = docs.select(id_col).schema[0].dataType
+    key = F.col(id_col).cast("long") if isinstance(kind, IntegralType) else F.xxhash64(id_col)
+    texts = docs.select(
+        F.col(id_col).alias("own"), F.coalesce(key, F.lit(-(1 << 63))).alias("id"), F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("th"),
+        F.col(text_col).alias("text"),
+    )
+    with Scratch() as scratch:
+        found = saved(repeats(texts.select("id", "th", "text"), scratch), "spans")
     struct = "removed array<struct<start:long,end:long>>"
-    schema = f"id {kind}, n_bytes long, n_removed long, {struct}, kept_sha256 string, kept binary"
-    cut = _of(texts, found).mapInArrow(_cut, schema)
-    rest = texts.join(F.broadcast(found.select("id", "th")) if found.count() <= MOST_IDS else found.select("id", "th"), ["id", "th"], "left_anti")
-    rest = rest.withColumn("spans", F.expr("array()").cast("array<struct<a:bigint,b:bigint>>")).mapInArrow(_cut, schema)
-    out = cut.unionByName(rest)
-    return (out if bytes_kept else out.drop("kept")).withColumnRenamed("id", id_col)
+    schema = f"own {kind.simpleString()}, n_bytes long, n_removed long, {struct}, kept_sha256 string, kept binary"
+    if found.limit(MOST_IDS + 1).count() <= MOST_IDS:  # most texts hold no repeats: only the others meet their spans
+        rest = rows_of(texts, found, ["id", "th"], how="left_anti").withColumn("spans", F.lit(None).cast("array<struct<a:int,b:int>>"))
+        parts = rows_of(texts, found, ["id", "th"]).join(found, ["id", "th"]).unionByName(rest)
+    else:
+        parts = texts.join(found, ["id", "th"], "left")
+    out = parts.select("own", "text", "spans").mapInArrow(_cut(bytes_kept), schema)
+    return (out if bytes_kept else out.drop("kept")).withColumnRenamed("own", id_col)
 
 
 def op1(docs: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import Scratch
 
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6)
@@ -24,6 +24,8 @@ PREFIXES = (3, 4, 5, 6)
 SAMPLE = 20_000
 #: Features kept: those that tell the grades apart best.
 KEPT = 8_000
+#: Word forms whose features a Python worker remembers; beyond it, it starts afresh.
+MEMO = 100_000
 
 
 def keys_of(word: str) -> list[str]:
@@ -37,7 +39,8 @@ def words_of(text: str | None) -> Counter:
 
 @dataclass
 class Model:
-    """Weights by feature, thresholds by grade."""
+    """Weights by feature, thresholds by grade. Features that aren't kept have no weight: more of them (KEPT) fit rarer
+    words, fewer smooth; which are kept is settled by counts over the sample."""
 
     index: dict[str, int]
     weights: np.ndarray
@@ -47,7 +50,7 @@ class Model:
     def features(self, text: str | None) -> dict[int, float]:
         total: dict[int, int] = {}
         memo, index = self.memo, self.index
-        if len(memo) > 500_000:
+        if len(memo) > MEMO:
             memo.clear()
         for word, n in words_of(text).items():
             got = memo.get(word)
@@ -65,33 +68,31 @@ class Model:
 
 
 def fit_ordinal(
-    rows: list[tuple[int, list[int], list[float]]], n_features: int, n_grades: int, *, l2: float = 1e-4, steps: int = 300
+    y: np.ndarray, size: np.ndarray, col: np.ndarray, val: np.ndarray, n_features: int, n_grades: int, *, l2: float = 1e-4, steps: int = 300
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ascending thresholds of greatest penalised likelihood, by Adam over all rows at once.
+    """Weights and ascending thresholds of greatest penalised likelihood, by Adam over all rows at once: row i has grade
+    y[i] and the next size[i] of the features col with their values.
 
     Thresholds are the first one and the logs of the gaps, so they stay ordered. Grades without rows leave their
     thresholds near where they start."""
-    y = np.array([r[0] for r in rows])
-    at = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    col = np.array([c for r in rows for c in r[1]], np.int64)
-    val = np.array([v for r in rows for v in r[2]])
+    at, n = np.repeat(np.arange(len(y)), size), len(y)
     theta = np.zeros(n_features + n_grades - 1)
     theta[n_features] = 1.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
         w, gaps = theta[:n_features], np.exp(theta[n_features + 1 :])
         cut = np.concatenate(([-np.inf], theta[n_features] + np.concatenate(([0], np.cumsum(gaps))), [np.inf]))
-        s = np.bincount(at, val * w[col], len(rows))
+        s = np.bincount(at, val * w[col], n)
         above, below = cut[y] - s, cut[y + 1] - s  # grade y lies between these
         fa, fb = (1 / (1 + np.exp(-np.clip(x, -50, 50))) for x in (above, below))
         fa, fb = np.where(np.isneginf(above), 0, fa), np.where(np.isposinf(below), 1, fb)
         p = np.maximum(fb - fa, 1e-12)
         da, db = fa * (1 - fa) / p, fb * (1 - fb) / p
         per_cut = np.bincount(y, da, n_grades + 1)[: n_grades + 1] - np.bincount(y + 1, db, n_grades + 1)
-        inner = per_cut[1:n_grades] / len(rows)
+        inner = per_cut[1:n_grades] / n
         grad = np.concatenate(
             [
-                np.bincount(col, val * (db - da)[at], n_features) / len(rows) + l2 * w,
+                np.bincount(col, val * (db - da)[at], n_features) / n + l2 * w,
                 [inner.sum()],
                 [inner[k + 1 :].sum() * gaps[k] for k in range(n_grades - 2)],
             ]
@@ -114,7 +115,7 @@ def _document_counts(text_col: str, grade_col: str, n_grades: int):
             for text, grade in zip(batch.column(text_col).to_pylist(), batch.column(grade_col).to_pylist(), strict=True):
                 for key in {k for w in words_of(text) for k in keys_of(w)}:
                     counts.setdefault(key, [0] * n_grades)[grade] += 1
-            if len(counts) > 500_000:
+            if len(counts) > 200_000:
                 yield batch_of()
                 counts.clear()
         if counts:
@@ -131,7 +132,7 @@ def _rows(text_col: str, grade_col: str, model):
                 [
                     batch.column(grade_col),
                     pa.array([list(f) for f in found], pa.list_(pa.int32())),
-                    pa.array([np.log1p(list(f.values())).tolist() for f in found], pa.list_(pa.float64())),
+                    pa.array([np.log1p(list(f.values())).astype(np.float32) for f in found], pa.list_(pa.float32())),
                 ],
                 names=["grade", "col", "val"],
             )
@@ -143,30 +144,36 @@ def fit(
     docs: DataFrame, grades: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade",
     sample: int = SAMPLE, kept: int = KEPT,
 ) -> Model | None:
-    """A model from at most `sample` labelled rows, the ones of lowest id hash; grades are 0, 1, ... and null counts as
-    unlabelled. None if fewer than two grades occur."""
+    """A model from the documents of at most `sample` labelled ids, the ones of lowest hash; grades are 0, 1, ... and null
+    counts as unlabelled, as does a null id. Of an id's several labels the highest counts; rows that share a labelled id
+    all take part. None if fewer than two grades occur, as in empty tables. Texts of any length take part whole."""
     spark = docs.sparkSession
-    labels = grades.where(F.col(grade_col).isNotNull()).select(id_col, F.col(grade_col).cast("int").alias("grade"))
-    labels = saved(labels.orderBy(F.xxhash64(id_col), id_col).limit(sample), "sample")
-    rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(labels), id_col).select("text", "grade")
-    rows = saved(rows, "labelled")
-    per = dict(rows.groupBy("grade").count().collect())
-    if len(per) < 2:
-        return None
-    n_grades = max(per) + 1
-    clean, other = per.get(0, 0) or 1, sum(n for g, n in per.items() if g)
-    n_of = [F.sum(F.get("n", F.lit(g))) for g in range(n_grades)]
-    counts = rows.mapInArrow(_document_counts("text", "grade", n_grades), "key string, n array<long>")
-    counts = counts.groupBy("key").agg(n_of[0].alias("zero"), sum(n_of[1:], F.lit(0)).alias("more")).where("zero + more >= 3")
-    # how far the shares of clean and graded rows that have it lie apart, in standard errors
-    a, b = F.col("zero") / clean, F.col("more") / other
-    pooled = (F.col("zero") + F.col("more")) / (clean + other)
-    z = F.abs(b - a) / F.sqrt(pooled * (1 - pooled) * (1 / clean + 1 / other) + 1e-12)
-    best = counts.orderBy(z.desc(), "key").limit(kept).select("key").collect()
-    model = Model({r[0]: i for i, r in enumerate(best)}, np.zeros(len(best)), np.zeros(n_grades - 1))
-    shared = spark.sparkContext.broadcast(model)
-    sparse = rows.mapInArrow(_rows("text", "grade", shared), "grade int, col array<int>, val array<double>")
-    model.weights, model.thresholds = fit_ordinal([tuple(r) for r in sparse.collect()], len(best), n_grades)
+    labels = grades.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull())
+    labels = labels.groupBy(id_col).agg(F.max(F.col(grade_col)).cast("int").alias("grade"))  # of repeated labels the worst
+    with Scratch() as scratch:
+        labels = scratch.saved(labels.orderBy(F.xxhash64(id_col), id_col).limit(sample), "sample")
+        rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(labels), id_col).select("text", "grade")
+        rows = scratch.saved(rows, "labelled")
+        per = dict(rows.groupBy("grade").count().collect())
+        if len(per) < 2:
+            return None
+        n_grades = max(per) + 1
+        clean, other = per.get(0, 0) or 1, sum(n for g, n in per.items() if g)
+        n_of = [F.sum(F.get("n", F.lit(g))) for g in range(n_grades)]
+        counts = rows.mapInArrow(_document_counts("text", "grade", n_grades), "key string, n array<long>")
+        counts = counts.groupBy("key").agg(n_of[0].alias("zero"), sum(n_of[1:], F.lit(0)).alias("more")).where("zero + more >= 3")
+        # how far the shares of clean and graded rows that have it lie apart, in standard errors
+        a, b = F.col("zero") / clean, F.col("more") / other
+        pooled = (F.col("zero") + F.col("more")) / (clean + other)
+        z = F.abs(b - a) / F.sqrt(pooled * (1 - pooled) * (1 / clean + 1 / other) + 1e-12)
+        best = counts.orderBy(z.desc(), "key").limit(kept).select("key").collect()
+        model = Model({r[0]: i for i, r in enumerate(best)}, np.zeros(len(best)), np.zeros(n_grades - 1))
+        shared = spark.sparkContext.broadcast(model)
+        sparse = rows.mapInArrow(_rows("text", "grade", shared), "grade int, col array<int>, val array<float>").toArrow().combine_chunks()
+    col, val = (sparse.column(c).combine_chunks() for c in ("col", "val"))
+    size = np.diff(col.offsets.to_numpy())
+    parts = [x.flatten().to_numpy() for x in (col, val)]
+    model.weights, model.thresholds = fit_ordinal(sparse.column("grade").to_numpy(), size, *parts, len(best), n_grades)
     return model
 
 

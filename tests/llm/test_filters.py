@@ -164,7 +164,8 @@ def test_ordinal_regression_recovers_grades():
     noise = np.log(1 / rng.random(4000) - 1)
     y = np.digitize(x @ w + noise * 0.3, [-0.5, 1.0])
     rows = [(int(g), list(range(6)), v.tolist()) for g, v in zip(y, x, strict=True)]
-    got, cuts = toxicity.fit_ordinal(rows, 6, 3, l2=0, steps=600)
+    flat = [np.array([r[0] for r in rows]), np.array([len(r[1]) for r in rows]), *(np.concatenate([r[k] for r in rows]) for k in (1, 2))]
+    got, cuts = toxicity.fit_ordinal(*flat, 6, 3, l2=0, steps=600)
     assert np.corrcoef(got, w)[0, 1] > 0.98 and cuts[0] < cuts[1]
     assert (np.digitize(x @ got, cuts) == y).mean() > 0.85
 

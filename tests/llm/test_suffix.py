@@ -87,3 +87,14 @@ def test_join_path_repeats_and_empty(spark, monkeypatch):
     assert s.op1(docs.where("doc_id > 999")).count() == 0
     wide = docs.selectExpr("doc_id as key", "text as body", "1 as id", "2 as th", "3 as text")
     assert s.dedup(wide, id_col="key", text_col="body").count() == len(rows)
+
+
+def test_long_texts_in_segments(monkeypatch):
+    rng = np.random.default_rng(1)
+    for n, letters in ((400, 26), (401, 2), (5000, 4), (7321, 1)):
+        data = rng.integers(97, 97 + letters, n).astype(np.uint8)
+        want = s.anchors(data)
+        for size in (1, 399, 500, 1000):
+            monkeypatch.setattr(s, "SEGMENT", size)
+            assert all((a == b).all() for a, b in zip(s.anchors(data), want, strict=True))
+        monkeypatch.undo()
