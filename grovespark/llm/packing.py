@@ -1,9 +1,10 @@
 """Best-fit packing of tokenised documents into sequences under several capacities at once.
 
 Tokens, document count and attention cost (the sum of squared piece lengths) are the dimensions of a vector bin
-packing. Pieces are dealt to blocks of a bounded number of pieces by a hash, each block is packed by vector best fit
-in descending length, and blocks are independent: a block leaves at most a few sequences part empty, a share that
-does not grow with the data."""
+packing, and all of them weigh in the choice of a sequence. Pieces are dealt to blocks by their place in the table, so
+that repeated ids don't meet; a block has a bounded number of pieces, or of tokens where pieces are short, and is
+packed by vector best fit in descending length. Blocks are independent: a block of hundreds of sequences leaves a few
+of them part empty, a share that does not grow with the data."""
 
 from __future__ import annotations
 
@@ -11,19 +12,22 @@ import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import saved
 
-#: Pieces that one task packs together.
-BLOCK = 16_384
-#: Word forms whose ids a Python worker keeps; beyond it, it starts afresh.
-CACHED = 600_000
+#: Pieces that one task packs together, and full sequences that it makes of them at least.
+BLOCK, LEAST_SEQUENCES = 16_384, 256
+#: Weights of the free tokens, documents and attention cost of a sequence when one is chosen for a piece.
+WEIGHTS = (1.0, 0.1, 0.1)
+#: Word forms whose ids a Python worker keeps; beyond it, it keeps the quarter that it met first.
+CACHED = 300_000
 _kept: dict[int, tuple] = {}
 _TAIL = ".,!?:;*%&$#|"
 
@@ -67,14 +71,14 @@ class Encoder:
     @staticmethod
     def parts(chunk: str) -> tuple[str, str]:
         core = chunk.rstrip(_TAIL)
-        if not core or not core[-1].isalpha():
-            core = chunk
+        if not core or not core[-1].isalpha() or not unicodedata.normalize("NFC", core).lower()[-1].isalpha():
+            core = chunk  # a mark, which some letters are split into, joins the punctuation
         tail = chunk[len(core) :]
         return (core.lower() if core.isascii() and core.isalpha() else core), tail
 
     def learn(self, chunks: set[str]) -> None:
         if len(self.ids) > CACHED:
-            self.ids, self.cores = {"": b""}, {"": b""}
+            self.ids, self.cores = (dict(islice(x.items(), CACHED // 4)) for x in (self.ids, self.cores))
             raise KeyError
         split = [(c, *self.parts(c)) for c in chunks]
         new = {x for _, core, tail in split for x in (core, tail) if x not in self.cores}
@@ -99,7 +103,7 @@ class Encoder:
             try:
                 self.learn(new)
             except KeyError:
-                self.learn(set().union(*split))
+                self.learn(set().union(*split).difference(self.ids))
         get = self.ids.__getitem__
         return [b"".join(map(get, chunks)) for chunks in split]
 
@@ -188,27 +192,30 @@ def best_fit(needs: np.ndarray, capacity: np.ndarray, rule: str, weights: np.nda
 
 def pack(
     pieces: DataFrame, *, max_tokens: int = 4096, max_docs: int | None = None, max_cost: float | None = None,
-    rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.0, 0.0), block: int = BLOCK,
+    rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS, block: int = BLOCK,
 ) -> DataFrame:
     """The pieces with sequence_id and offset added; no sequence exceeds max_tokens tokens, max_docs pieces or max_cost
     attention cost (unset: what max_tokens pieces or one full piece need, which binds nothing).
 
-    Needs columns id, piece and length, 1 <= length <= max_tokens. pieces is read twice; give it saved. No pieces give
-    no rows. Ties in length go by id and piece."""
+    Needs columns id, piece and length, 1 <= length <= max_tokens; any others stay, but for sequence_id and offset, which
+    are replaced. pieces is read twice; give it saved. No pieces give no rows. Ties in length go by id and piece, and
+    repeated rows are packed each. The earliest sequence wins ties between sequences."""
     assert rule in ("norm", "dot")
     capacity = np.array([max_tokens, max_docs or max_tokens, max_cost or float(max_tokens) ** 2], float)
     shares = np.array(weights)
-    n_blocks = max(1, -(-pieces.count() // block))
+    pieces = pieces.drop("sequence_id", "offset")
+    n, tokens = pieces.agg(F.count("*"), F.sum("length")).collect()[0]
+    n_blocks = max(1, min(-(-n // block), (tokens or 0) // (max_tokens * LEAST_SEQUENCES)))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        size = pdf["length"].to_numpy(float)
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.drop_columns(["__block"]).sort_by([("length", "descending"), ("id", "ascending"), ("piece", "ascending")])
+        size = table.column("length").to_numpy().astype(float)
         bins, offset = best_fit(np.stack([size, np.ones(len(size)), size**2], 1), capacity, rule, shares)
-        return pdf.assign(sequence_id=(pdf["block"].to_numpy(np.int64) << 32) + bins, offset=offset).drop(columns="block")
+        return table.append_column("sequence_id", pa.array((int(key[0].as_py()) << 32) + bins)).append_column("offset", pa.array(offset))
 
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in pieces.schema)}, sequence_id long, offset long"
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("id", "piece"), F.lit(n_blocks)).cast("long"))
-    return dealt.groupBy("block").applyInPandas(run, schema)
+    schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    dealt = pieces.withColumn("__block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks)).cast("long"))
+    return dealt.groupBy("__block").applyInArrow(run, schema)
 
 
 def op10(docs: DataFrame, path: str | None = None) -> DataFrame:

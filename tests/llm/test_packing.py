@@ -64,3 +64,37 @@ def test_query_packs_everything(spark):
         assert at <= 4096
     assert len(seqs) == 5  # four full pieces, and the rest in one
     assert packing.op10(docs.where("doc_id > 9")).count() == 0
+
+
+def test_encoder_equals_the_tokenizer_after_every_letter():
+    import sys
+    import unicodedata
+
+    enc = packing.Encoder(packing.tokenizer_json())
+    letters = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "L"]
+    few = [c for c in letters if not unicodedata.normalize("NFC", c).lower()[-1].isalpha()]
+    assert len(few) >= 60
+    for group, tails in ((letters, "."), (few, packing._TAIL)):
+        texts = [f"a{c}{t}" for t in tails for c in group]
+        for at in range(0, len(texts), 20_000):
+            part = texts[at : at + 20_000]
+            want = enc.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            assert enc.encode(part) == [np.array(w.ids, "<u4").tobytes() for w in want]
+
+
+def test_every_dimension_weighs_in():
+    capacity = np.array([100.0, 4, 10_000])
+    needs = np.array([[60, 1, 3600], [60, 1, 3600], [20, 1, 400], [20, 1, 400], [15, 1, 225]], float)
+    tokens_only = packing.best_fit(needs, capacity, "norm", np.array([1.0, 0, 0]))[0]
+    all_of_them = packing.best_fit(needs, capacity, "dot", np.array([0.0, 1, 0]))[0]
+    assert tokens_only.tolist() == [0, 1, 0, 0, 1] and all_of_them.tolist() == [0, 1, 0, 1, 0]
+
+
+def test_repeated_ids_are_dealt_apart_and_other_columns_stay(spark):
+    rows = [(None if i % 2 else 7, 0, 300, "x", i) for i in range(3000)]
+    pieces = spark.createDataFrame(rows, "id long, piece int, length long, block string, offset long").repartition(4)
+    out = packing.pack(pieces, block=500)
+    got = out.collect()
+    assert len(got) == 3000 and len({r["sequence_id"] >> 32 for r in got}) == 1  # few tokens: one block
+    assert {r["block"] for r in got} == {"x"} and len({r["sequence_id"] for r in got}) == -(-3000 // 13)
+    assert packing.pack(pieces.where("length > 300")).count() == 0
