@@ -74,3 +74,38 @@ def test_mask_keeps_columns(spark):
     out = {r["id"]: r for r in pii.mask(docs).collect()}
     assert out[1]["text"] == "x [EMAIL] y" and out[2]["text"] is None and out[1].asDict().keys() == {"id", "text", "kind", "votes"}
     assert pii.mask(docs.where("id > 5")).count() == 0 and pii.spans(docs.where("id > 5"), id_col="id").count() == 0
+
+
+def test_classifier_finds_what_rules_miss(spark):
+    """Planted spans that no plain rule has, and decoys of the same shapes: the classifier adds the ones, not the others."""
+    rng = random.Random(12)
+    n = lambda k: "".join(rng.choice("123456789") for _ in range(k))
+    filler = lambda: " ".join(rng.choice("river stone walk paper green the of and".split()) for _ in range(12))
+    rows, planted = [], {}
+    for i in range(600):
+        text = f"{filler()} mail jo{n(2)}@mail.example.com or call +1 ({n(3)}) 555-{n(4)} {filler()} "
+        kind = i % 4
+        if kind == 0:
+            extra, lead = f"({n(3)}) {n(3)}-{n(4)}", "call the office phone "
+        elif kind == 1:
+            extra, lead = f"ann{n(2)} (at) mail (dot) example (dot) com", "write to our email "
+        elif kind == 2:
+            extra, lead = f"{n(4)} {n(4)} {n(4)} {n(3)}", "invoice order "
+        else:
+            extra, lead = f"{n(3)}-{n(3)}-{n(4)}", "serial no "
+        if kind < 2:
+            planted[i] = (len(text + lead), len(text + lead + extra))
+        rows.append((i, text + lead + extra + " " + filler()))
+    out = pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    added = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if not s["base"]] for r in out}
+    caught = sum(planted[i] in added[i] for i in planted)
+    wrong = sum(len(v) for i, v in added.items() if i not in planted)
+    assert all(sum(s["base"] for s in r["spans"]) >= 2 for r in out)
+    print("caught", caught, "of", len(planted), "wrong", wrong)
+    assert caught >= 0.95 * len(planted) and wrong <= 15
+
+
+def test_longer_spans_before_are_not_overlapped():
+    text = "x@y.z (at) b (dot) com 1.2.3.4 1.2.3.4 1.2.3.4 1.2.3.4 1.2.3.4"
+    base = pii.base_spans(text)
+    assert all(a >= e or b <= s for _, a, b in pii.more_candidates(text, base) for _, s, e in base)
