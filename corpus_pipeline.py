@@ -25,8 +25,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by tags, and n_chars following the text."""
-    return pii.mask(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """All documents, personal data replaced by tags, and n_chars, if there is one, following the text."""
+    return pii.mask(docs).withColumns({c: F.length("text").cast(docs.schema[c].dataType) for c in docs.columns if c == "n_chars"})
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
