@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from .common import in_slices
+
 #: Words are runs of ASCII letters and digits and of all code points from U+0080, whose UTF-8 bytes are all >= 0x80.
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -89,7 +91,7 @@ def _scan(gram_set, last: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = gram_set.value
-        for batch in batches:
+        for batch in in_slices(batches):
             n_words, pos, items = [], [], []
             before = zip(*(batch.column(k).to_pylist() for k in (2, 3)), strict=True) if batch.num_columns > 2 else repeat(((), ()))
             for text, (were, had) in zip(batch.column(1).to_pylist(), before):  # noqa: B905
@@ -151,7 +153,7 @@ def _mark(gram_set, text_index: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = gram_set.value
-        for batch in batches:
+        for batch in in_slices(batches):
             pos = []
             for text, were in zip(batch.column(text_index).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 at, _ = grams.hits(words_of(text))
@@ -168,7 +170,7 @@ def _strip(text_index: int, share: float, mode: str):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             keep, texts = [], []
             for text, at in zip(batch.column(text_index).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 bad = len(at) > 0 and len(at) >= share * len(words_of(text))

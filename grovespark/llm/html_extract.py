@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import in_slices, saved
 
 _OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>")
 _PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
@@ -256,7 +256,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     found: Counter = Counter()
-    for batch in batches:
+    for batch in in_slices(batches):
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             found.update((host, d) for d in Page(html).subtrees())
             found[host, b"\0"] += 1  # pages of the host
@@ -293,7 +293,7 @@ def extract(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, set()
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = []
             for html, digests in zip(batch.column("html").to_pylist(), batch.column("digests").to_pylist(), strict=True):
                 if digests != last:

@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M3, Scratch, mix64, rows_of, saved
+from .common import M3, Scratch, in_slices, mix64, release, rows_of, saved
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 4
@@ -77,12 +77,6 @@ def shingles(texts: list[str | None], k: int = SHINGLE) -> tuple[np.ndarray, np.
     return doc[new], h[new], np.diff(np.concatenate((new, [len(h)])))
 
 
-def _slices(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, len(batch), size):
-            yield batch.slice(at, size)
-
-
 def _frequent_in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles in a SATURATE-th of a chunk's documents; the last, short chunk is one with the chunk before it."""
 
@@ -91,11 +85,11 @@ def _frequent_in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         return pa.RecordBatch.from_arrays([pa.array(h[n * SATURATE >= docs].view(np.int64))], names=["h"])
 
     before, held, docs, size = ([], 0), [], 0, 0
-    for batch in _slices(batches):
+    for batch in in_slices(batches):
         _, h, _ = shingles(batch.column(0).to_pylist())
         held.append(h)
         docs, size = docs + len(batch), size + len(h)
-        if size > 2_000_000:
+        if size > 1_000_000:
             if before[0]:
                 yield found(*before)
             before, held, docs, size = (held, docs), [], 0, 0
@@ -107,7 +101,7 @@ def _count(candidates: Broadcast | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if candidates is None else candidates.value
         total = None if known is None else np.zeros(len(known), np.int64)
-        for batch in _slices(batches):
+        for batch in in_slices(batches):
             _, h, _ = shingles(batch.column(0).to_pylist())
             if known is None:
                 h, n = np.unique(h, return_counts=True)
@@ -190,7 +184,7 @@ def _sketch(model: Broadcast):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, idf = Sampler(), model.value
-        for batch in _slices(batches):
+        for batch in in_slices(batches):
             texts = batch.column("text").to_pylist()
             doc, h, tf = shingles(texts)
             sig = sampler.sample(doc, h, idf.of(h, tf), len(texts))
@@ -212,7 +206,7 @@ def _keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _slices(batches, 4096):
+    for batch in in_slices(batches, 4096):
         key = _keys(np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(len(batch), -1))
         ids = batch.column("id").take(pa.array(np.repeat(np.arange(len(batch)), BANDS)))
         yield pa.RecordBatch.from_arrays([ids, pa.array(key.reshape(-1).view(np.int64))], names=["id", "bucket"])
@@ -322,6 +316,7 @@ def _links_in_chunks(model: Broadcast):
                 yield _link_rows(out)
                 out = []
         yield _link_rows(out)
+        release()
 
     return run
 
@@ -348,7 +343,7 @@ def features(h: pa.ListArray, tf: pa.ListArray, model: Weights) -> tuple[np.ndar
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _slices(batches):
+    for batch in in_slices(batches):
         doc, h, tf = shingles(batch.column("text").to_pylist())
         cut = np.searchsorted(doc, np.arange(len(batch) + 1)).astype(np.int32)
         lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (h.view(np.int64), tf.astype(np.int32))]
@@ -365,15 +360,14 @@ def weighted_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndar
 
 def _verify(model: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in _slices([whole], 512):
-                sides = []
-                for x in "ab":
-                    n, h, w = features(batch.column("h" + x), batch.column("tf" + x), model.value)
-                    cut = np.searchsorted(n, np.arange(len(batch) + 1))
-                    sides.append([(h[i:j], w[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)])
-                ok = [weighted_jaccard(*a, *b) >= SIMILAR for a, b in zip(*sides, strict=True)]
-                yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        for batch in in_slices(batches):
+            sides = []
+            for x in "ab":
+                n, h, w = features(batch.column("h" + x), batch.column("tf" + x), model.value)
+                cut = np.searchsorted(n, np.arange(len(batch) + 1))
+                sides.append([(h[i:j], w[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)])
+            ok = [weighted_jaccard(*a, *b) >= SIMILAR for a, b in zip(*sides, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import saved
+from .common import in_slices, saved
 
 #: Pieces that one task packs together, and full sequences that it makes of them at least.
 BLOCK, LEAST_SEQUENCES = 16_384, 256
@@ -119,24 +119,22 @@ def encoder(spec: str) -> Encoder:
 def _pieces(spec, id_col: str, text_col: str, end_id: int, most: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(spec.value), int(end_id).to_bytes(4, "little")
-        for whole in batches:
-            for at in range(0, len(whole), 256):
-                batch = whole.slice(at, 256)
-                rows: list[tuple] = []
-                for row, ids in enumerate(enc.encode(batch.column(text_col).to_pylist())):
-                    ids += end
-                    for k, a in enumerate(range(0, len(ids), 4 * most)):
-                        part = ids[a : a + 4 * most]
-                        rows.append((row, k, a // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
-                row, k, start, length, crc, part = zip(*rows, strict=True)
-                arrays = [
-                    batch.column(id_col).take(pa.array(row)), pa.array(k, pa.int32()), pa.array(start, pa.int64()),
-                    pa.array(length, pa.int64()), pa.array(crc, pa.int64()),
-                ]
-                names = ["id", "piece", "start", "length", "ids_crc32"]
-                if with_ids:
-                    arrays, names = [*arrays, pa.array(part, pa.binary())], [*names, "ids"]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+        for batch in in_slices(batches):
+            rows: list[tuple] = []
+            for row, ids in enumerate(enc.encode(batch.column(text_col).to_pylist())):
+                ids += end
+                for k, a in enumerate(range(0, len(ids), 4 * most)):
+                    part = ids[a : a + 4 * most]
+                    rows.append((row, k, a // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
+            row, k, start, length, crc, part = zip(*rows, strict=True)
+            arrays = [
+                batch.column(id_col).take(pa.array(row)), pa.array(k, pa.int32()), pa.array(start, pa.int64()),
+                pa.array(length, pa.int64()), pa.array(crc, pa.int64()),
+            ]
+            names = ["id", "piece", "start", "length", "ids_crc32"]
+            if with_ids:
+                arrays, names = [*arrays, pa.array(part, pa.binary())], [*names, "ids"]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, saved
+from .common import Scratch, in_slices, saved
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -169,7 +169,7 @@ def scan_text(text: str | None) -> list[tuple[int, int, int, str, list[int]]]:
 
 def _scan(id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             rows = [
                 [dict(zip(("kind", "start", "end", "votes", "features"), s, strict=True)) for s in scan_text(t)]
                 for t in batch.column(text_col).to_pylist()
@@ -263,7 +263,7 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
-        for batch in batches:
+        for batch in in_slices(batches):
             out = []
             for row in batch.column("found").to_pylist():
                 kept = sorted((s["start"], s["kind"], s["end"], s["votes"][0] == "1") for s in row if holds(tuple(s.values()), w, least))
@@ -287,7 +287,7 @@ def mask(docs: DataFrame, *, text_col: str = "text", least: float = 0.9) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = []
             for text in batch.column(at).to_pylist():
                 out, over = [], 0

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import MOST_IDS, M3, Scratch, mix64, rows_of, saved
+from .common import MOST_IDS, M3, Scratch, mix64, release, rows_of, saved
 
 WIDTH, GRAM = 400, 200
 SIDE = WIDTH - GRAM
@@ -93,6 +93,7 @@ def _slices(batch: pa.RecordBatch, column: str, most: int = HELD_BYTES) -> Itera
         stop = max(start + 1, int(np.searchsorted(edge, edge[start] + most)))
         yield batch.slice(start, stop - start)
         start = stop
+    release()
 
 
 def _raw(text: str | None) -> bytes:
@@ -265,6 +266,7 @@ def _merge_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             size += sum(map(len, part.column("bytes").to_pylist()))
     if held:
         yield found(pa.Table.from_batches(held))
+    release()
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, in_slices
 
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6)
@@ -45,7 +45,7 @@ class Model:
     index: dict[str, int]
     weights: np.ndarray
     thresholds: np.ndarray
-    memo: dict[str, list[int]] = field(default_factory=dict)
+    memo: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
     def features(self, text: str | None) -> dict[int, float]:
         total: dict[int, int] = {}
@@ -55,7 +55,7 @@ class Model:
         for word, n in words_of(text).items():
             got = memo.get(word)
             if got is None:
-                got = memo[word] = [index[k] for k in keys_of(word) if k in index]
+                got = memo[word] = tuple(index[k] for k in keys_of(word) if k in index)
             for k in got:
                 total[k] = total.get(k, 0) + n
         return total
@@ -111,7 +111,7 @@ def _document_counts(text_col: str, grade_col: str, n_grades: int):
                 [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.list_(pa.int64()))], names=["key", "n"]
             )
 
-        for batch in batches:
+        for batch in in_slices(batches):
             for text, grade in zip(batch.column(text_col).to_pylist(), batch.column(grade_col).to_pylist(), strict=True):
                 for key in {k for w in words_of(text) for k in keys_of(w)}:
                     counts.setdefault(key, [0] * n_grades)[grade] += 1
@@ -126,7 +126,7 @@ def _document_counts(text_col: str, grade_col: str, n_grades: int):
 
 def _rows(text_col: str, grade_col: str, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [model.value.features(t) for t in batch.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -179,7 +179,7 @@ def fit(
 
 def _score(model, id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             p = [model.value.chances(t).tolist() for t in batch.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(p, pa.list_(pa.float64()))], names=["id", "p"])
 
@@ -204,7 +204,7 @@ def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_
 
 def _keep(model, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             yield batch.filter(pa.array([model.value.chances(t)[0] < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return run
