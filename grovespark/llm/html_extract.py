@@ -1,20 +1,25 @@
-"""Main text of web pages, with site templates removed: element subtrees are hashed, Spark counts on how many pages of
-a host each occurs, and those on most of its pages go, with menus, notices, forms, adverts and comments by their tags
-and names."""
+"""Main text of web pages, with site templates removed: element subtrees are hashed and Spark counts on how many pages of
+a host each occurs.
+
+There are two hashes. That of a subtree with its text finds what is repeated word for word; what is on most pages of a
+host goes. That of a subtree's place, which is blind to text (tags and classes from the root down), finds the frame:
+of the places that most pages of a host have, the smallest container with most of the host's text is its main block,
+and the places beside it are the site's menus, adverts and footers, whatever they say. Tags and class words are weak
+priors for hosts of few pages; they never remove what holds an article or most of a page's text."""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
 from collections.abc import Iterator
-from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
+from xxhash import xxh64_intdigest
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, saved
+from .common import Scratch, in_slices, saved
 
 _OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>")
 _PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
@@ -24,8 +29,11 @@ _MAIN = re.compile(r"""role\s*=\s*["']?main\b|itemprop\s*=\s*["']?articlebody\b"
 _ROLE = re.compile(r"""role\s*=\s*["']?(?:navigation|banner|contentinfo|complementary|search|dialog|alert|form|menu)\b""", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
-#: Longest tag that is read as one, quotes respected.
-TAG_CHARS = 20_000
+_DIGITS = re.compile(r"[0-9]+")
+#: Tags of a page whose quotes never close, after which quotes aren't respected in it any more.
+BROKEN = 100
+#: Depth to which elements have places of their own; deeper ones share the place above.
+DEPTH = 32
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noframes".split())
@@ -38,6 +46,8 @@ DROPPED = frozenset(
     "nav footer aside form script style noscript template iframe svg button select input textarea dialog object canvas audio"
     " video map head menu math".split()
 )
+#: What is never text, with or without priors.
+UNSEEN = frozenset("script style noscript template iframe svg head object canvas audio video map math".split())
 #: Words in a class or id that mark what is not the article.
 NAMED = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion sidebar menu nav navbar navigation"
@@ -50,6 +60,8 @@ CLOSES = {
     "option": {"option"}, "optgroup": {"option", "optgroup"}, "tbody": {"tr", "td", "th", "thead", "tbody"},
 }
 FENCE = frozenset("ul ol dl table td th div article section main body html aside nav footer header form blockquote select".split())
+#: Elements that can be a host's main block.
+BOXES = frozenset("article main section div td center body".split())
 #: Text elements that no template removal touches inside an explicit article.
 TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 
@@ -61,9 +73,13 @@ class Page:
     def __init__(self, html: str | None):
         self.tags: list[str] = []
         self.attrs: list[str] = []
-        self.digests: list[bytes] = []
+        self.digests: list[int] = []
         self.sizes: list[int] = []
         self.linked: list[int] = []
+        self.anchors: list[int] = []
+        self.holds: list[bool] = []  # is or holds an article
+        self.places: list[int] = []
+        self.depth: list[int] = []
         self.events: list[int | str] = []
         self.open: list[int] = []
         self.count: Counter = Counter()  # open elements by tag
@@ -85,9 +101,17 @@ class Page:
         n = len(self.tags)
         self.tags.append(tag)
         self.attrs.append(attrs)
-        self.digests.append(b"")
+        self.digests.append(0)
         self.sizes.append(0)
         self.linked.append(0)
+        self.anchors.append(int(tag == "a"))
+        self.holds.append(self.is_main(n))
+        up, deep = (self.places[self.open[-1]], self.depth[self.open[-1]]) if self.open else (0, 0)
+        if tag in BLOCK and deep < DEPTH:
+            names = " ".join(m[1] or m[2] or m[3] or "" for m in _NAMES.finditer(attrs)) if attrs else ""
+            up, deep = xxh64_intdigest(f"{up} {tag} {_DIGITS.sub('0', names.lower())}".encode("utf-8", "surrogatepass")), deep + 1
+        self.places.append(up)
+        self.depth.append(deep)
         self.events.append(n)
         self.open.append(n)
         self.parts.append([])
@@ -100,12 +124,14 @@ class Page:
         self.events.append(~n)
         self.count[self.tags[n]] -= 1
         self.anchor -= self.tags[n] == "a"
-        self.digests[n] = blake2b(b"\0".join([self.tags[n].encode(), *parts]), digest_size=8).digest()
+        self.digests[n] = xxh64_intdigest(b"\0".join([self.tags[n].encode("utf-8", "surrogatepass"), *parts])) - (1 << 63)
         if self.open:
             up = self.open[-1]
             self.sizes[up] += self.sizes[n]
             self.linked[up] += self.linked[n]
-            self.parts[-1].append(self.digests[n] if self.sizes[n] else self.tags[n].encode())
+            self.anchors[up] += self.anchors[n]
+            self.holds[up] |= self.holds[n] and self.sizes[n] > 0
+            self.parts[-1].append(self.digests[n].to_bytes(8, "little", signed=True) if self.sizes[n] else self.tags[n].encode("utf-8", "surrogatepass"))
 
     def _close(self, tags: set[str], fence: frozenset[str]) -> None:
         """Close up to the innermost open element of these tags, if no fence lies inside it."""
@@ -121,7 +147,7 @@ class Page:
                 return
 
     def _read(self, html: str) -> None:
-        self.anchor = 0
+        self.anchor = broken = 0
         self._start("html", "")
         at, size, lower = 0, len(html), None
         while at < size:
@@ -142,7 +168,9 @@ class Page:
             if html.find(">", lt) < 0:  # no tag ends any more
                 self._text(html[at:])
                 break
-            m = _OPEN.match(html, lt, min(size, lt + TAG_CHARS)) or _PLAIN.match(html, lt)
+            m = _OPEN.match(html, lt) if broken < BROKEN else None
+            if m is None and (m := _PLAIN.match(html, lt)):
+                broken += 1
             if not m:
                 self._text(html[at : lt + 1])
                 at = lt + 1
@@ -175,47 +203,80 @@ class Page:
         while self.open:
             self._end()
 
-    def subtrees(self) -> set[bytes]:
+    def subtrees(self) -> set[int]:
         """Digests of block elements with text."""
         return {d for d, tag, n in zip(self.digests, self.tags, self.sizes, strict=True) if n and tag in BLOCK and tag not in ("html", "body", "head")}
 
-    def _dropped(self, n: int, inside: bool) -> bool:
+    def layout(self) -> dict[int, tuple[int, bool, list[int]]]:
+        """Text size, whether it is a box, and the places above, of each place that has text."""
+        out: dict[int, tuple[int, bool, list[int]]] = {}
+        above: list[int] = []
+        for e in self.events:
+            if isinstance(e, str):
+                continue
+            if e < 0:
+                above.pop()
+                continue
+            if self.sizes[e] and self.tags[e] in BLOCK and (not above or self.places[e] != above[-1]):
+                size, box, chain = out.get(self.places[e]) or (0, self.tags[e] in BOXES, list(dict.fromkeys(above)))
+                out[self.places[e]] = (size + self.sizes[e], box, chain)
+            above.append(self.places[e])
+        return out
+
+    def is_main(self, n: int) -> bool:
+        return self.tags[n] in ("article", "main") or bool(self.attrs[n]) and bool(_MAIN.search(self.attrs[n]))
+
+    def _dropped(self, n: int, inside: bool, spared: bool) -> bool:
+        """By tags, roles and class words; class words don't touch what is spared."""
         tag, attrs = self.tags[n], self.attrs[n]
         if tag in DROPPED or tag == "header" and not inside:
             return True
-        if not attrs or tag in ("html", "body", "main"):
+        if not attrs or tag in ("html", "body", "main", "article"):
             return False
         if _HIDDEN.search(attrs) or _ROLE.search(attrs):
             return True
+        if spared:
+            return False
         for m in _NAMES.finditer(attrs):
-            for word in _TOKEN.findall(m[1] or m[2] or m[3] or ""):
-                if word.lower() in NAMED or word.lower() == "header" and not inside:
+            for name in (m[1] or m[2] or m[3] or "").split():
+                words = [name] if tag in TEXTS else _TOKEN.findall(name)
+                if any(w.lower() in NAMED or w.lower() == "header" and not inside for w in words):
                     return True
         return False
 
-    def main_text(self, templates: set[bytes]) -> str:
-        """Blocks of the article, or of all that is left of the body if none is marked, joined by line ends."""
+    def main_text(self, templates: set[int], frame: set[int] = frozenset(), priors: bool = True) -> str:
+        """Blocks of the article, or of all that is left of the body if none is marked, joined by line ends. templates:
+        digests of subtrees that go; frame: places that go."""
         drop: list[bool] = []
         region: list[int] = []
+        around = [2 * self.sizes[0] + 1 if priors and self.holds[0] else self.sizes[0]]  # text of the article around; none: of the page
         skip = within = 0
         for e in self.events:  # which elements go, which are articles
             if isinstance(e, str):
                 continue
             if e >= 0:
-                tag = self.tags[e]
-                mark = tag in ("article", "main") or bool(self.attrs[e]) and bool(_MAIN.search(self.attrs[e]))
-                gone = self._dropped(e, within > 0) or (
-                    self.digests[e] in templates and tag in BLOCK and tag not in ("html", "body", "head") and not mark and not (within and tag in TEXTS)
-                )
+                tag, mark = self.tags[e], self.is_main(e)
+                spared = self.holds[e] or 2 * self.sizes[e] >= around[-1] > 0
+                if priors:
+                    gone = self._dropped(e, within > 0, spared)
+                else:
+                    gone = tag in UNSEEN
+                if not gone and tag in BLOCK and tag not in ("html", "body", "head"):
+                    gone = self.digests[e] in templates and not mark and not (within and tag in TEXTS)
+                    gone |= self.places[e] in frame and not spared and not within
                 drop.append(gone)
                 skip += gone
-                if mark and not skip and self.sizes[e]:
+                if mark and priors and not skip and self.sizes[e]:
                     region.append(e)
                 within += mark
+                if mark:
+                    around.append(self.sizes[e])
             else:
                 n = ~e
                 skip -= drop[n]
-                within -= self.tags[n] in ("article", "main") or bool(self.attrs[n]) and bool(_MAIN.search(self.attrs[n]))
+                if self.is_main(n):
+                    within -= 1
+                    around.pop()
         chosen = {e for e in region if self.tags[e] == "article"} or set(region)
         blocks: list[str] = []
         run: list[str] = []
@@ -226,7 +287,7 @@ class Page:
                     run.append(e)
                 continue
             n = e if e >= 0 else ~e
-            menu = not chosen and self._menu(n)
+            menu = priors and not chosen and self._menu(n)
             if self.tags[n] in BLOCK:
                 if text := _SPACE.sub(" ", "".join(run)).strip():
                     blocks.append(text)
@@ -241,64 +302,96 @@ class Page:
         return "\n".join(blocks)
 
     def _menu(self, n: int) -> bool:
-        return self.tags[n] in ("ul", "ol", "div", "table", "section", "p") and self.sizes[n] > 0 and self.linked[n] >= 0.8 * self.sizes[n]
+        return self.tags[n] in ("ul", "ol", "div", "table", "section") and self.anchors[n] > 1 and self.linked[n] >= 0.8 * self.sizes[n]
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#:]*)", 1))
 
 
+_COUNTS = "host string, key long, place boolean, n long, size long, box boolean, above array<long>"
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def batch_of(found: Counter) -> pa.RecordBatch:
-        hosts, digests = [h for h, _ in found], [int.from_bytes(d, "little", signed=True) for _, d in found]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(found.values(), pa.int64())], names=["host", "digest", "n"]
-        )
+    kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+    names = ["host", "key", "place", "n", "size", "box", "above"]
+    found: dict[tuple, list] = {}
+
+    def batch_of() -> pa.RecordBatch:
+        columns = zip(*((*k, *v) for k, v in found.items()), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    def signed(x: int) -> int:
+        return x - (1 << 63)
 
-    found: Counter = Counter()
     for batch in in_slices(batches):
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            found.update((host, d) for d in Page(html).subtrees())
-            found[host, b"\0"] += 1  # pages of the host
-        if len(found) > 300_000:
-            yield batch_of(found)
+            page = Page(html)
+            for d in page.subtrees():
+                found.setdefault((host, d, False), [0, 0, False, []])[0] += 1
+            for place, (size, box, above) in page.layout().items():
+                row = found.setdefault((host, signed(place), True), [0, 0, box, [signed(x) for x in above]])
+                row[0] += 1
+                row[1] += size
+            row = found.setdefault((host, 0, None), [0, 0, False, []])  # pages and text of the host
+            row[0] += 1
+            row[1] += page.sizes[0]
+        if len(found) > 200_000:
+            yield batch_of()
             found.clear()
     if found:
-        yield batch_of(found)
-
+        yield batch_of()
 
-def templates(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", share: float = 0.5, least: int = 10) -> DataFrame:
-    """Rows (host, digests): subtrees on at least `share` of the host's pages and on `least` of them.
 
-    A host has at most 1 / share times as many as a page has subtrees."""
-    counts = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(_count, "host string, digest long, n long")
-    counts = counts.groupBy("host", "digest").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    counts = saved(counts, "subtrees")
-    size = counts.where("digest = 0").select("host", F.col("n").alias("pages"))
-    often = counts.where("digest <> 0").join(size, "host").where(F.col("n") >= share * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_set("digest").alias("digests"))
+def templates(
+    pages: DataFrame, *, url_col: str = "url", html_col: str = "html", share: float = 0.5, least: int = 10,
+) -> DataFrame:
+    """Rows (host, digests, frame): subtrees on at least `share` of the host's pages and on `least` of them, and the
+    places that as many pages have beside the host's main block.
+
+    The main block is, of the boxes on so many pages, the one of least text that has half of the host's text. A host has
+    at most 1 / share times as many of either as a page has."""
+    counts = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(_count, _COUNTS)
+    counts = counts.groupBy("host", "key", "place").agg(
+        F.sum("n").alias("n"), F.sum("size").alias("size"), F.max("box").alias("box"), F.max("above").alias("above")
+    )
+    with Scratch() as scratch:
+        counts = scratch.saved(counts.where(F.col("n") >= least), "subtrees")
+        whole = counts.where("place is null").select("host", F.col("n").alias("pages"), F.col("size").alias("all_text"))
+        often = counts.where("place is not null").join(whole, "host").where(F.col("n") >= share * F.col("pages"))
+        often = scratch.saved(often, "often")
+        exact = often.where("not place").groupBy("host").agg(F.collect_set("key").alias("digests"))
+        places = often.where("place")
+        boxes = places.where(F.col("box") & (2 * F.col("size") >= F.col("all_text")))
+        main = boxes.groupBy("host").agg(F.min_by(F.struct("key", "above"), F.struct("size", -F.size("above"), "key")).alias("main"))
+        beside = ~F.array_contains("main.above", F.col("key")) & (F.col("key") != F.col("main.key")) & ~F.array_contains("above", F.col("main.key"))
+        frame = places.join(main, "host").where(beside).groupBy("host").agg(F.collect_set("key").alias("frame"))
+        return saved(exact.join(frame, "host", "full"), "templates")
 
 
 def extract(
     pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = 0.5, least: int = 10,
+    priors: bool = True,
 ) -> DataFrame:
     """Rows (id, url, text) of every page row. A null or empty page, or one without an article, has an empty text.
 
-    Pages without a host (null or odd urls) count as one host's. Spark broadcasts the templates if they are small and
-    otherwise joins by host, splitting hosts of many pages."""
+    Pages without a host (null or odd urls) count as one host's. Repeated rows count as pages each. A page of any length
+    is read whole; other columns, whatever their names, play no part. Without priors only templates are removed, and
+    what is never text. Spark broadcasts the templates if they are small and otherwise joins by host, splitting hosts of
+    many pages. Empty tables give no rows."""
     kinds = {f.name: f.dataType.simpleString() for f in pages.select(id_col, url_col).schema}
-    found = saved(templates(pages, url_col=url_col, html_col=html_col, share=share, least=least), "templates")
+    found = templates(pages, url_col=url_col, html_col=html_col, share=share, least=least)
     whole = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    rows = whole.join(found, "host", "left").select("id", "url", "html", "digests")
+    rows = whole.join(found, "host", "left").select("id", "url", "html", "digests", "frame")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, set()
+        last, known = None, (set(), set())
         for batch in in_slices(batches):
             texts = []
-            for html, digests in zip(batch.column("html").to_pylist(), batch.column("digests").to_pylist(), strict=True):
-                if digests != last:
-                    last, known = digests, {d.to_bytes(8, "little", signed=True) for d in digests or ()}
-                texts.append(Page(html).main_text(known))
+            for html, digests, frame in zip(*(batch.column(c).to_pylist() for c in ("html", "digests", "frame")), strict=True):
+                if (digests, frame) != last:
+                    last, known = (digests, frame), (set(digests or ()), {x + (1 << 63) for x in frame or ()})
+                texts.append(Page(html).main_text(*known, priors))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
     out = rows.mapInArrow(run, f"id {kinds[id_col]}, url {kinds[url_col]}, text string")
