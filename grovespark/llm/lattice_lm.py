@@ -2,10 +2,11 @@
 its words into pieces.
 
 The pieces are those of an existing public vocabulary and their first scores follow its order; expectation-
-maximisation over the training words refines the scores. A word's paths are summed by forward recursion in log space.
-A further edge spans the whole word, weighted by how often the training texts have it. Words are counted over all
-documents. The most frequent words, a bounded number, are broadcast; the others meet their counts in a join on a hash
-of the word, in which no key is hot because the hot ones are already served."""
+maximisation over the training words, each with its number of tokens, refines the scores. A word's paths are summed by
+forward recursion in log space. Beside that score stands another, which also has an edge over the whole word, weighted
+by how often the training texts have it. Words are counted over all documents. The most frequent words, a bounded
+number, are broadcast; the others meet their scores in a join on the word, in which no key is hot because the hot ones
+are already served."""
 
 from __future__ import annotations
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import in_slices, saved
 
 #: A word with at least this share of all tokens is broadcast; there can't be more than its inverse of them.
 HEAD_SHARE = 1 / 250_000
@@ -204,24 +205,24 @@ class Blocks:
             out[at] = self.lattice.score(words[at[0]]) if codes is None else self.forward(codes, list(self.edges(codes)))[-1] + self.lattice.stop
         return out
 
-    def expect(self, words: list[str], counts: dict[tuple[int, str], float]) -> None:
-        """Add the expected uses of each piece in the words."""
+    def expect(self, words: list[str], times: np.ndarray, counts: dict[tuple[int, str], float]) -> None:
+        """Add the expected uses of each piece in the words, each of which occurs so many times."""
         totals = [np.zeros(len(t[0])) for t in self.tables]
         fall = [x + self.lattice.OTHER for x in self.lattice.other]
         for where, codes in self.groups(words):
             if codes is None:
-                self.lattice.expect(words[where[0]], 1, counts)
+                self.lattice.expect(words[where[0]], float(times[where[0]]), counts)
                 continue
-            edges = list(self.edges(codes))
+            edges, n = list(self.edges(codes)), times[where].astype(float)
             alpha, beta = self.forward(codes, edges), np.full((codes.shape[1] + 1, len(codes)), -np.inf)
             beta[-1] = 0
             for start, end, p, at in reversed(edges):
                 kind = int(start > 0)
                 out = beta[end] + alpha[start] - alpha[-1]
                 hit = np.flatnonzero(p > -np.inf)
-                totals[kind] += np.bincount(at[hit], np.exp(out[hit] + p[hit]), len(totals[kind]))
+                totals[kind] += np.bincount(at[hit], n[hit] * np.exp(out[hit] + p[hit]), len(totals[kind]))
                 if end == start + 1:
-                    counts[kind, ""] = counts.get((kind, ""), 0.0) + float(np.exp(out + fall[kind]).sum())
+                    counts[kind, ""] = counts.get((kind, ""), 0.0) + float(n @ np.exp(out + fall[kind]))
                     p = np.logaddexp(p, fall[kind])
                 beta[start] = np.logaddexp(beta[start], beta[end] + p)
         for total, (_, _, names) in zip(totals, self.tables, strict=True):
@@ -241,7 +242,7 @@ def _count(id_col: str, text_col: str):
             ]
             return pa.RecordBatch.from_arrays(arrays, names=["word", "n", "c"])
 
-        for batch in batches:
+        for batch in in_slices(batches):
             for doc_id, text in zip(batch.column(id_col).to_pylist(), batch.column(text_col).to_pylist(), strict=True):
                 words = words_of(text)
                 seen.update(words)
@@ -266,12 +267,12 @@ def count_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def fit(counts: DataFrame, *, path: str | None = None, rounds: int = 2) -> Lattice:
-    """Piece scores by expectation-maximisation over the training texts' word forms; the expected counts that reach
-    the driver are as many as the vocabulary has pieces."""
+    """Piece scores by expectation-maximisation over the training texts' words, weighted by their tokens; the expected
+    counts that reach the driver are as many as the vocabulary has pieces."""
     spark, (first, rest) = counts.sparkSession, piece_vocabulary(path)
     lattice = Lattice.ranked(first, rest)
-    train = counts.where((F.col("c") > 0) & (F.col("word") != END)).select("word")
-    words = train.count()
+    train = counts.where((F.col("c") > 0) & (F.col("word") != END)).select("word", "c")
+    words = int(train.agg(F.sum("c")).collect()[0][0] or 0)
     for _ in range(rounds if words else 0):
         shared = spark.sparkContext.broadcast(lattice)
 
@@ -279,7 +280,7 @@ def fit(counts: DataFrame, *, path: str | None = None, rounds: int = 2) -> Latti
             found: dict[tuple[int, str], float] = {}
             blocks = Blocks(shared.value)
             for batch in batches:
-                blocks.expect(batch.column(0).to_pylist(), found)
+                blocks.expect(batch.column("word").to_pylist(), batch.column("c").to_numpy(), found)
             kinds, pieces = [k for k, _ in found], [p for _, p in found]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(kinds, pa.int32()), pa.array(pieces, pa.string()), pa.array(found.values(), pa.float64())], names=["kind", "piece", "n"]
@@ -291,11 +292,10 @@ def fit(counts: DataFrame, *, path: str | None = None, rounds: int = 2) -> Latti
 
 
 class Model:
-    """Per token, base and score in log10: base from counts alone, score from the lattice with the whole-word edge.
+    """Per token, in log10: base from counts alone; score from the lattice; mixed from the lattice with the whole-word edge.
 
-    The edge has the word's share of the training tokens after a discount from its count; the discounts of all words
-    together are the weight of the paths over pieces, which therefore learn from word forms, not tokens. A text's end
-    competes with its words."""
+    A text's end competes with its words. The edge has the word's share of the training tokens after a discount from its
+    count; the discounts of all words together are then the weight of the lattice."""
 
     def __init__(self, lattice: Lattice, total: int, distinct: int, once: int, twice: int, ends: int):
         self.lattice, self.total = lattice, total
@@ -307,68 +307,61 @@ class Model:
     def base(self, c: np.ndarray) -> np.ndarray:
         return (np.log(c + 0.5) - self.norm) / _LOG10
 
-    def score(self, blocks: Blocks, words: list[str], c: np.ndarray) -> np.ndarray:
-        pieces = self.pieces + math.log1p(-self.end) + blocks.scores(words)
+    def score(self, blocks: Blocks, words: list[str], c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Score and mixed score of each word; the end is END."""
+        paths, more = blocks.scores(words), math.log1p(-self.end)
         edge = np.log(np.maximum(c - self.discount, 1e-300) / max(self.total, 1))
-        out = np.where(c > 0, np.logaddexp(edge, pieces), pieces) / _LOG10
-        return np.where([w == END for w in words], math.log10(self.end), out)
+        mixed = np.where(c > 0, np.logaddexp(edge, self.pieces + more + paths), self.pieces + more + paths)
+        ends = np.array([w == END for w in words], bool)
+        return tuple(np.where(ends, math.log(self.end), x) / _LOG10 for x in (more + paths, mixed))
 
 
 def _lexicon(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         blocks = Blocks(model.value.lattice)
-        for batch in batches:
-            words, c = batch.column("word").to_pylist(), batch.column("c").to_numpy()
-            h = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
-            arrays = [pa.array(h.view(np.int64)), batch.column("c"), pa.array(model.value.score(blocks, words, c).astype(np.float32))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["hash", "c", "score"])
+        for batch in in_slices(batches, 10_000):
+            score, mixed = model.value.score(blocks, batch.column("word").to_pylist(), batch.column("c").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(score), pa.array(mixed)], names=["word", "c", "score", "mixed"])
 
     return run
 
 
 def _emit(id_col: str, text_col: str, head):
-    """A row of sums over frequent words for each document, and one for each other word of it, with the word's hash."""
-    import xxhash
+    """A row of sums over frequent words for each document, and one for each other word of it."""
     from pyspark import TaskContext
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, row = head.value, TaskContext.get().partitionId() << 40
-        hash_of, end = xxhash.xxh64_intdigest, table[END.encode()]
-        for whole in batches:
-            for at in range(0, len(whole), 512):
-                batch = whole.slice(at, 512)
-                out: list[tuple] = []
-                ids: list[int] = []
-                for k, text in enumerate(batch.column(text_col).to_pylist()):
-                    words, row = words_of(text), row + 1
-                    known, base, score = int(end[0] > 0), end[1], end[2]
-                    for w, n in Counter(words).items():
-                        got = table.get(w)
-                        if got:
-                            known, base, score = known + n * (got[0] > 0), base + n * got[1], score + n * got[2]
-                        else:
-                            h = hash_of(w)
-                            out.append((row, h - (h >> 63 << 64), n, 0, 0.0, 0.0))
-                            ids.append(-1)
-                    out.append((row, row * 0x9E3779B97F4A7C15 % (1 << 63), -1 - len(words), known, base, score))
-                    ids.append(k)
-                key, h, n, known, base, score = zip(*out, strict=True)
-                kept = pa.array([None if k < 0 else k for k in ids], pa.int64())
-                arrays = [
-                    batch.column(id_col).take(kept), pa.array(key, pa.int64()), pa.array(h, pa.int64()), pa.array(n, pa.int64()),
-                    pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()),
-                ]
-                yield pa.RecordBatch.from_arrays(arrays, names=["id", "row", "hash", "n", "k0", "b0", "s0"])
+        end = table[END.encode()]
+        for batch in in_slices(batches):
+            out: list[tuple] = []
+            ids: list[int | None] = []
+            for k, text in enumerate(batch.column(text_col).to_pylist()):
+                words, row = words_of(text), row + 1
+                sums = [int(end[0] > 0), *end[1:]]
+                for w, n in Counter(words).items():
+                    got = table.get(w)
+                    if got:
+                        sums = [sums[0] + n * (got[0] > 0), *(x + n * y for x, y in zip(sums[1:], got[1:], strict=True))]
+                    else:
+                        out.append((row, w.decode("utf-8", "surrogatepass"), n, 0, 0.0, 0.0, 0.0))
+                        ids.append(None)
+                out.append((row, f" {row}", -1 - len(words), *sums))  # no word has a blank
+                ids.append(k)
+            columns = list(zip(*out, strict=True))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+            arrays = [batch.column(id_col).take(pa.array(ids, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "row", "word", "n", "k0", "b0", "s0", "m0"])
 
     return run
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, rounds: int = 2) -> DataFrame:
-    """Rows (id, n_tokens, n_known, train_tokens, base_score, score) of every document row.
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, rounds: int = 2, head_share: float | None = None) -> DataFrame:
+    """Rows (id, n_tokens, n_known, train_tokens, base_score, score, mixed_score) of every document row: score is the
+    lattice's log10 probability of the whole text, mixed_score that of the lattice with an edge over each known word.
 
-    Training texts are those whose crc32(id as text) mod 5 is not 1, or that have no id. A null text is empty: one token, its end.
+    Words of head_share (HEAD_SHARE) of the tokens are broadcast. Rows that share an id are scored each; a text of any length is read
+    whole; other columns, whatever their names, play no part; no documents give no rows. Training texts are those whose crc32(id as text) mod 5 is not 1, or that have no id. A null text is empty: one token, its end.
     Without training texts no word is known and the pieces keep their first scores."""
     spark = docs.sparkSession
     counts = saved(count_words(docs, id_col=id_col, text_col=text_col), "words")
@@ -379,19 +372,19 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pa
     ).collect()[0]
     total, distinct, once, twice, ends, tokens = (int(x or 0) for x in facts)
     model = Model(fit(counts, path=path, rounds=rounds), total, distinct, once, twice, ends)
-    frequent = F.col("n") >= max(1, math.ceil(tokens * HEAD_SHARE))
+    frequent = F.col("n") >= max(1, math.ceil(tokens * (head_share or HEAD_SHARE)))
     rows = [tuple(r) for r in counts.where(frequent | (F.col("word") == END)).select("word", "c").collect()] or [(END, 0)]
     words, c = [r[0] for r in rows], np.array([r[1] for r in rows])
-    per_word = zip(c.tolist(), model.base(c).tolist(), model.score(Blocks(model.lattice), words, c).tolist(), strict=True)
-    head = dict(zip((w.encode("utf-8", "surrogatepass") for w in words), per_word, strict=True))
+    scores = (x.tolist() for x in (c, model.base(c), *model.score(Blocks(model.lattice), words, c)))
+    head = dict(zip((w.encode("utf-8", "surrogatepass") for w in words), zip(*scores, strict=True), strict=True))
     shared, table = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(head)
     tail = counts.where(~frequent & (F.col("word") != END)).select("word", "c")
-    lexicon = tail.mapInArrow(_lexicon(shared), "hash long, c long, score float")
+    lexicon = tail.mapInArrow(_lexicon(shared), "word string, c long, score double, mixed double")
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    schema = f"id {kind}, row long, hash long, n long, k0 long, b0 double, s0 double"
+    schema = f"id {kind}, row long, word string, n long, k0 long, b0 double, s0 double, m0 double"
     rows = docs.select(id_col, text_col).mapInArrow(_emit(id_col, text_col, table), schema)
     word = F.col("n") > 0
-    joined = rows.join(lexicon, "hash", "left")
+    joined = rows.join(lexicon, "word", "left")
 
     def total_of(own, per_word):
         return F.sum(F.when(word, F.col("n") * per_word).otherwise(F.col(own)))
@@ -399,13 +392,14 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pa
     out = joined.groupBy("row").agg(
         F.max(F.when(~word, F.col("id"))).alias(id_col), F.max(F.when(~word, -F.col("n"))).alias("n_tokens"),
         total_of("k0", (F.col("c") > 0).cast("long")).alias("n_known"),
-        total_of("b0", (F.log(F.col("c") + 0.5) - model.norm) / _LOG10).alias("base_score"), total_of("s0", F.col("score").cast("double")).alias("score"),
+        total_of("b0", (F.log(F.col("c") + 0.5) - model.norm) / _LOG10).alias("base_score"),
+        total_of("s0", F.col("score")).alias("score"), total_of("m0", F.col("mixed")).alias("mixed_score"),
     )
-    return out.select(id_col, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select(id_col, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "mixed_score")
 
 
 def op4(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The contract's row for each document; see score()."""
     out = score(docs, path=path)
     mark = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1, F.lit(False))
-    return out.select("doc_id", mark.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", mark.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "mixed_score")

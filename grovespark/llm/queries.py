@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": lambda s, d: suffix_dedup.op1(table(s, d, "documents")),
     "op2_line_dedup": lambda s, d: line_dedup.op2(table(s, d, "documents")),
-    "op2_every_unit_dedup": lambda s, d: line_dedup.op2(table(s, d, "documents"), least_words=1),
+    "op2_every_unit_dedup": lambda s, d: line_dedup.op2(table(s, d, "documents"), least_run=0),
     "op3_quality_rules": lambda s, d: quality_rules.op3(table(s, d, "documents"), table(s, d, "labels")),
     "op4_subword_lattice": lambda s, d: lattice_lm.op4(table(s, d, "documents")),
     "op5_minhash_near_dedup": lambda s, d: minhash.op5(table(s, d, "documents")),

@@ -17,14 +17,14 @@ def test_lines_keep_the_earliest(spark):
         (6, "other line with five words"), (6, "other line with five words"),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = {r["doc_id"]: r for r in line_dedup.op2(docs).collect()}
-    assert line_dedup.op2(docs).count() == len(rows)
+    out = {r["doc_id"]: r for r in line_dedup.op2(docs, least_words=5, least_run=0).collect()}
+    assert line_dedup.op2(docs, least_words=5, least_run=0).count() == len(rows)
     assert out[1]["n_removed"] == 0 and out[1]["text"] == rows[1][1]
     assert out[2]["text"] == "short" and out[2]["removed"] == "6:30,31:55"
     assert out[3]["text"] == "short\nother line with five words" and out[3]["n_units"] == 4
     assert out[4]["text"] is None and out[5]["text"] == "" and out[4]["n_units"] == out[5]["n_units"] == 0
     assert out[6]["text"] == "" and out[6]["n_removed"] == 1
-    assert line_dedup.op2(docs.where("doc_id > 99")).count() == 0
+    assert line_dedup.op2(docs.where("doc_id > 99"), least_words=5, least_run=0).count() == 0
 
 
 def test_lines_by_another_rank_and_paragraphs(spark):
@@ -36,10 +36,22 @@ def test_lines_by_another_rank_and_paragraphs(spark):
 def test_sentences_inside_lines(spark):
     passage = "The same words come here again. Another sentence of the passage follows."
     docs = spark.createDataFrame([(1, f"Own start of one. {passage} Own end of one."), (2, f"Something else before it! {passage}"), (3, f"X. {passage}\nend")], "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in line_dedup.op2(docs).collect()}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.op2(docs, least_words=5, least_run=0).collect()}
     assert got == {1: f"Own start of one. {passage} Own end of one.", 2: "Something else before it!", 3: "X. end"}
 
 
+def test_only_passages_go(spark):
+    verse = "\n\n".join(f"Line {'abcdefghij'[i]} of it. Yes" for i in range(6))
+    rows = [(1, verse + "\nA phrase that writers share."), (2, "Own.\n" + verse + "\nOwn end."), (3, "A phrase that writers share. Own " + "words " * 30), (4, "x"), (4, "y")]
+    rows += [(None, "Same words. " * 20), (5, "Same words.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gone", F.lit(1)).withColumn("who", F.lit(2))
+    out = {(r["doc_id"], r["text"]): r for r in line_dedup.op2(docs).collect()}
+    assert len(out) == len(rows) and rows[0] in out and rows[2] in out
+    got = out[2, "Own.\n\n\n\n\n\nOwn end."]
+    assert got["n_removed"] == 12 and got["n_units"] == 19
+    assert out[None, "Same words. "]["n_removed"] == 19
+
+
 def test_passages_of_short_units_go_whole(spark, tmp_path):
     import duckdb
     from grovespark.llm import queries

@@ -36,9 +36,10 @@ def test_blocks_equal_the_word_by_word_lattice(lattice):
     words = ["".join(rng.choice("etaoinshré\0") for _ in range(rng.randrange(1, 40))) for _ in range(300)]
     blocks, a, b = q.Blocks(lattice), {}, {}
     assert np.allclose(blocks.scores(words), [lattice.score(w) for w in words])
-    blocks.expect(words, a)
-    for w in words:
-        lattice.expect(w, 1, b)
+    times = np.arange(1, len(words) + 1)
+    blocks.expect(words, times, a)
+    for w, n in zip(words, times.tolist(), strict=True):
+        lattice.expect(w, n, b)
     assert a.keys() == b.keys() and all(math.isclose(a[k], b[k], rel_tol=1e-6, abs_tol=1e-9) for k in a)
 
 
@@ -91,3 +92,32 @@ def test_two_rounds_are_fitted(spark, monkeypatch):
     counts = spark.createDataFrame([("token", 3, 2), ("tokens", 1, 1)], "word string, n long, c long")
     q.fit(counts)
     assert len(rounds) == 2
+
+
+@pytest.mark.parametrize("head_share", [None, 2.0])
+def test_scores_equal_brute_force(spark, head_share):
+    """Expectation-maximisation and scores word by word; with head_share 2 every word takes the join."""
+    rows = [*corpus(), (84, "unseen 日本 words")]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, word int, row int")
+    got = {r["doc_id"]: r for r in q.score(docs, head_share=head_share).collect()}
+    train = Counter(w.decode() for i, t in rows if not q.held_out(i) for w in q.words_of(t))
+    ends = sum(not q.held_out(i) for i, _ in rows)
+    first, rest = q.piece_vocabulary()
+    model = q.Lattice.ranked(first, rest)
+    for _ in range(2):
+        counts = {}
+        for w, n in train.items():
+            model.expect(w, n, counts)
+        model = q.Lattice.counted(first, rest, counts, sum(train.values()))
+    end = (ends + 0.5) / (sum(train.values()) + ends + 1)
+    once, twice = (sum(n == k for n in [*train.values(), ends]) for k in (1, 2))
+    discount = (once + 1) / (once + 2 * twice + 2)
+    tokens = sum(train.values()) + ends
+    for i, t in dict(rows).items():
+        words = [w.decode() for w in q.words_of(t)]
+        path = [model.score(w) + math.log1p(-end) for w in words]
+        want = (sum(path) + math.log(end)) / math.log(10)
+        assert math.isclose(got[i]["score"], want, rel_tol=1e-9), i
+        held = math.log(discount * (len(train) + 1) / tokens)
+        both = [np.logaddexp(math.log((train[w] - discount) / tokens), held + p) if train[w] else held + p for w, p in zip(words, path, strict=True)]
+        assert math.isclose(got[i]["mixed_score"], (sum(both) + math.log(end)) / math.log(10), rel_tol=1e-9), i

@@ -10,7 +10,7 @@ def test_rows_without_an_id(spark):
     want = ["1", "2", "None", "None"]
     out = suffix_dedup.op1(docs)
     assert ids(out) == want and ids(out.where("n_removed > 0")) == ["1", "2", "None"]
-    out = line_dedup.op2(docs)
+    out = line_dedup.op2(docs, least_words=5, least_run=0)
     assert ids(out) == want and ids(out.where("n_removed > 0")) == ["2"]
     out = minhash.op5(docs)
     assert ids(out) == want and ids(out.where("kept")) == ["1", "None", "None"]
