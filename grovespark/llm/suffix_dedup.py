@@ -9,7 +9,9 @@ symbols stably, which sorts by one symbol more each round, and the block boundar
 common prefixes of that length (no suffix is compared again). Blocks after WIDTH bytes are the repeated intervals.
 
 Anchors with many differing contexts, such as the edge of a passage that a third of all documents share, are never
-gathered: their windows are counted by hash, which combines before the shuffle."""
+gathered. Their contexts are sorted by what follows the anchor, and by what precedes it, read backwards. Common prefixes
+with the neighbours in either order prove windows to be repeated and bound which others can be; only what lies between
+the two is counted by hash."""
 
 from __future__ import annotations
 
@@ -22,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import MOST_IDS, M3, Scratch, mix64, release, rows_of, saved
+from .common import MOST_IDS, M3, Scratch, in_slices, mix64, release, rows_of, saved
 
 WIDTH, GRAM = 400, 200
 SIDE = WIDTH - GRAM
 #: Bytes of one symbol of the transforms; divides WIDTH.
 SYMBOL = 50
-#: Differing contexts of an anchor that are merged in one task; those of other anchors are counted by window.
+#: Differing contexts of an anchor that are merged in one task; those of other anchors are sorted across tasks.
 MOST_CONTEXTS = 2048
 #: Context bytes merged at once, and shards they are split into.
 BATCH_BYTES, SHARDS = 1 << 19, 8
@@ -101,19 +103,19 @@ def _raw(text: str | None) -> bytes:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["id", "th", "anchor", "context", "lo", "hi"]
+    names = ["id", "th", "anchor", "context", "lo", "hi", "at"]
     for whole in batches:
         for batch in _slices(whole, "text", SEGMENT):
             rows, found = [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
                 raw = _raw(text)
                 if len(raw) >= WIDTH:
-                    found.append(anchors(np.frombuffer(raw, np.uint8))[1:])
+                    found.append(anchors(np.frombuffer(raw, np.uint8)))
                     rows.append(np.full(len(found[-1][0]), row))
             if found:
                 take = pa.array(np.concatenate(rows))
-                anchor, context, lo, hi = (np.concatenate(c) for c in zip(*found, strict=True))
-                columns = [anchor.view(np.int64), context.view(np.int64), lo.astype(np.int32), hi.astype(np.int32)]
+                pos, anchor, context, lo, hi = (np.concatenate(c) for c in zip(*found, strict=True))
+                columns = [anchor.view(np.int64), context.view(np.int64), *(x.astype(np.int32) for x in (lo, hi, pos - lo))]
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("th").take(take), *map(pa.array, columns)], names=names)
 
 
@@ -211,12 +213,13 @@ def _spans(offsets: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each open context of each document, with its bytes."""
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
+    """A row for each open context of each document, with its bytes; those of hot anchors come in two parts, from the
+    anchor on and, backwards, before it."""
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary()]
 
     def rows_of_some(out: list[tuple]) -> pa.RecordBatch:
         columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(columns, names=["id", "th", "anchor", "lo", "many", "hot", "bytes"])
+        return pa.RecordBatch.from_arrays(columns, names=["id", "th", "anchor", "lo", "many", "hot", "bytes", "left"])
 
     out: list[tuple] = []
     for whole in batches:
@@ -224,7 +227,9 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for doc, th, text, open_ in zip(*(batch.column(c).to_pylist() for c in ("id", "th", "text", "open")), strict=True):
                 raw = _raw(text)
                 for o in open_:
-                    out.append((doc, th, o["anchor"], o["lo"], o["many"], o["hot"], raw[o["lo"] : o["hi"]]))
+                    pos = o["lo"] + o["at"]
+                    parts = (raw[pos : o["hi"]], raw[o["lo"] : pos][::-1]) if o["hot"] else (raw[o["lo"] : o["hi"]], None)
+                    out.append((doc, th, o["anchor"], o["lo"], o["many"], o["hot"], *parts))
                     if len(out) * 3 * SIDE >= HELD_BYTES:
                         yield rows_of_some(out)
                         out = []
@@ -269,20 +274,95 @@ def _merge_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     release()
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each window of each context: its hash and its offset in the document."""
-    for whole in batches:
-        for at in range(0, len(whole), 64):
-            batch = whole.slice(at, 64)
-            rows, h, start = [], [], []
-            for row, (raw, lo) in enumerate(zip(batch.column("bytes").to_pylist(), batch.column("lo").to_pylist(), strict=True)):
-                s = np.arange(len(raw) - WIDTH + 1)
-                h.append(Hashes(np.frombuffer(raw, np.uint8)).of(s, s + WIDTH).view(np.int64))
-                rows.append(np.full(len(s), row))
-                start.append(s + lo)
-            take = pa.array(np.concatenate(rows))
-            arrays = [batch.column(k).take(take) for k in ("id", "th", "many")]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.concatenate(h)), pa.array(np.concatenate(start).astype(np.int32))], names=["id", "th", "many", "h", "a"])
+def _bytes(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """A row of bytes for each value, and the values' lengths."""
+    values = column.to_pylist()
+    size = np.fromiter(map(len, values), np.int64, len(values))
+    return np.frombuffer(b"".join(v.ljust(width, b"\0") for v in values), np.uint8).reshape(-1, width), size
+
+
+def _common(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of each row and the next."""
+    differ = rows[1:] != rows[:-1]
+    first = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+    return np.minimum(first, np.minimum(size[1:], size[:-1]))
+
+
+def _neighbours(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(right, left, low, high) of sorted contexts and the next one each: bytes after the anchor and before it that are
+    equal, -1 if the anchors differ, and the windows, by bytes before the anchor, that both have."""
+    anchor = batch.column("anchor").to_numpy()
+    right, left = (_common(*_bytes(batch.column(c), w)) for c, w in (("bytes", WIDTH), ("left", SIDE)))
+    same = (anchor[1:] == anchor[:-1]) & (right >= GRAM)
+    right, left = np.where(same, right - GRAM, -1), np.where(same, left, -1)
+    return right, left, np.where(same, SIDE - right, 1), np.where(same, left, 0)
+
+
+def _most(x: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """The larger value with the next and with the one before; the bound at either end, where a neighbour isn't known."""
+    if len(bound) < 2:
+        return bound
+    return np.minimum(np.concatenate((bound[:1], np.maximum(x[1:], x[:-1]), bound[-1:])), bound)
+
+
+_EDGES = ["la", "ha", "lb", "hb"]
+_HOT = "id long, th int, anchor long, lo int, many boolean, bytes binary, left binary"
+
+
+def _by_right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts in order of what follows their anchors, with the longest that another shares, and proven windows."""
+    for batch in in_slices(batches, 2048):
+        size = np.fromiter(map(len, batch.column("bytes").to_pylist()), np.int64, len(batch))
+        right, _, low, high = _neighbours(batch)
+        edges = [np.append(low, 1), np.append(high, 0), np.append(1, low), np.append(0, high)]
+        arrays = [pa.array(x.astype(np.int32)) for x in (_most(right, size - GRAM), *edges)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, "r", *_EDGES])
+
+
+def _by_left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (kind, id, th, a, b, h): spans of proven windows (0), windows that can be repeated without a proof (1), and
+    hashes of proven ones, which others may be equal to (2)."""
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+    for batch in in_slices(batches, 2048):
+        size, before = (np.fromiter(map(len, batch.column(c).to_pylist()), np.int64, len(batch)) for c in ("bytes", "left"))
+        _, left, low, high = _neighbours(batch)
+        r, *known = (batch.column(c).to_numpy() for c in ("r", *_EDGES))
+        known += [np.append(low, 1), np.append(high, 0), np.append(1, low), np.append(0, high)]
+        start, stop = np.maximum(SIDE - r, WIDTH - size), np.minimum(_most(left, before), before)  # by bytes before the anchor
+        out, told = [], []
+        values = zip(*(batch.column(c).to_pylist() for c in ("id", "th", "lo", "many", "bytes", "left")), strict=True)
+        for i, (doc, th, lo, many, tail, head) in enumerate(values):
+            if start[i] > stop[i]:
+                continue
+            proven = np.zeros(stop[i] - start[i] + 1, bool)
+            for a, b in zip(known[::2], known[1::2], strict=True):
+                proven[max(0, a[i] - start[i]) : max(0, b[i] - start[i] + 1)] = True
+            proven |= many
+            raw, pos = head[::-1] + tail, len(head)
+            first = pos - np.arange(start[i], stop[i] + 1)  # where the windows start in the context
+            h = Hashes(np.frombuffer(raw, np.uint8)).of(first, first + WIDTH).view(np.int64)
+            told.append(h[proven])
+            if not many:
+                out += [(1, doc, th, lo + int(a), 0, int(x)) for a, x in zip(first[~proven], h[~proven], strict=True)]
+                out += [(0, doc, th, lo + a, lo + b, 0) for a, b in _spans(first[proven][::-1])]
+        if told:
+            out += [(2, 0, 0, 0, 0, x) for x in np.unique(np.concatenate(told)).tolist()]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["kind", "id", "th", "a", "b", "h"])
+
+
+def _sorted_repeats(hot: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (id, th, a, b) of repeated windows among the contexts of each anchor, however many they are."""
+    wide = _HOT + ", r int, la int, ha int, lb int, hb int"
+    rows = hot.select([c.split(" ")[0] for c in _HOT.split(", ")])
+    rows = rows.repartitionByRange("anchor", "bytes", "left").sortWithinPartitions("anchor", "bytes", "left").mapInArrow(_by_right, wide)
+    rows = rows.repartitionByRange("anchor", "left", "bytes").sortWithinPartitions("anchor", "left", "bytes")
+    found = scratch.saved(rows.mapInArrow(_by_left, "kind int, id long, th int, a int, b int, h long"), "sorted")
+    asked, told = found.where("kind = 1"), found.where("kind = 2").select("h").distinct()
+    places = asked.select("h", F.xxhash64("id", "th", "a").alias("place")).groupBy("h").agg(F.min("place").alias("x"), F.max("place").alias("y"))
+    often = places.join(told.withColumn("told", F.lit(True)), "h", "left").where("told or x <> y").select("h")
+    more = asked.join(scratch.saved(often, "windows"), "h").select("id", "th", "a", (F.col("a") + WIDTH).alias("b"))
+    return found.where("kind = 0").select("id", "th", "a", "b").union(more)
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -314,8 +394,8 @@ def _cut(bytes_kept: bool):
 def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows (id, th, spans array<struct<a,b>>) of documents (id, th, text) with bytes in repeated windows."""
     names = "id long, th int, "
-    found = scratch.saved(docs.mapInArrow(_anchors, names + "anchor long, context long, lo int, hi int"), "anchors")
-    firsts = [F.first(c).alias(c) for c in ("id", "th", "lo", "hi")]
+    found = scratch.saved(docs.mapInArrow(_anchors, names + "anchor long, context long, lo int, hi int, at int"), "anchors")
+    firsts = [F.first(c).alias(c) for c in ("id", "th", "lo", "hi", "at")]
     contexts = scratch.saved(found.groupBy("anchor", "context").agg(F.count("*").alias("n"), *firsts), "contexts")
     equal = contexts.where("n > 1").select("anchor", "context")
     whole = found.join(equal, ["anchor", "context"]).select("id", "th", F.col("lo").alias("a"), F.col("hi").alias("b"))
@@ -324,21 +404,17 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     apart = scratch.saved(contexts.groupBy("anchor").agg(F.count("*").alias("differ")).where("differ > 1"), "apart")
     open_ = contexts.join(apart, "anchor").select(
-        "id", "th", F.struct("anchor", "lo", "hi", (F.col("n") > 1).alias("many"), (F.col("differ") > MOST_CONTEXTS).alias("hot")).alias("o")
+        "id", "th", F.struct("anchor", "lo", "hi", "at", (F.col("n") > 1).alias("many"), (F.col("differ") > MOST_CONTEXTS).alias("hot")).alias("o")
     )
     open_ = scratch.saved(open_.groupBy("id", "th").agg(F.collect_list("o").alias("open")), "open")
     scratch.drop(contexts)
-    schema = names + "anchor long, lo int, many boolean, hot boolean, bytes binary"
+    schema = names + "anchor long, lo int, many boolean, hot boolean, bytes binary, left binary"
     # rows that share id and text are one here: their contexts were counted before
     texts = rows_of(docs, open_, ["id", "th"]).join(open_, ["id", "th"])
     held = scratch.saved(texts.mapInArrow(_contexts, schema), "held")
     scratch.drop(open_)
     cold = held.where("not hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_merge_partition, names + "a int, b int")
-    windows = held.where("hot").mapInArrow(_windows, names + "many boolean, h long, a int")
-    placed = windows.select("h", F.xxhash64("id", "th", "a").alias("place"), "many")
-    often = placed.groupBy("h").agg(F.min("place").alias("x"), F.max("place").alias("y"), F.max("many").alias("many"))
-    often = scratch.saved(often.where("many or x <> y").select("h"), "windows")
-    hot = windows.where("not many").join(often, "h").select("id", "th", "a", (F.col("a") + WIDTH).alias("b"))
+    hot = _sorted_repeats(held.where("hot"), scratch)
     spans = whole.unionByName(cold).unionByName(hot).distinct()
     return spans.groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 

@@ -72,7 +72,7 @@ def test_merged_transforms_find_equal_windows():
 
 
 def test_query_equals_brute_force(spark, monkeypatch):
-    for seed, most in ((1, 512), (2, 3)):
+    for seed, most in ((1, 512), (2, 3), (4, 1)):
         monkeypatch.setattr(s, "MOST_CONTEXTS", most)
         rows = corpus(seed)
         docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -98,3 +98,14 @@ def test_long_texts_in_segments(monkeypatch):
             monkeypatch.setattr(s, "SEGMENT", size)
             assert all((a == b).all() for a, b in zip(s.anchors(data), want, strict=True))
         monkeypatch.undo()
+
+
+def test_hot_passage_edges(spark, monkeypatch):
+    """A passage that a third of the texts share, at different places and with near copies of its end."""
+    monkeypatch.setattr(s, "MOST_CONTEXTS", 2)
+    rng = random.Random(7)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, ends = text(900), [text(150) for _ in range(3)]
+    rows = [(i, text(rng.randrange(0, 500)) + (passage[: rng.choice([700, 900])] + rng.choice([*ends, ""]) if i % 3 == 0 else "") + text(200)) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in s.op1(docs).collect()) == brute(rows)
