@@ -243,3 +243,17 @@ def conforms_to(resource_type: Column, url: str, prefix: str = "http://hl7.org/f
     if not url.startswith(prefix):
         return F.raise_error(F.lit(f"not a type url: {url}"))
     return resource_type == url[len(prefix) :]
+
+
+def extension(primitive: Column, url: str) -> Column:
+    """The extensions with this url of an element that has some (struct<..., extension array<struct<url, ...>>>)."""
+    return F.filter(primitive["extension"], lambda e: e["url"] == url)
+
+
+def has_value(primitive: Column) -> Column:
+    """Whether a primitive has a value beside its metadata; empty for an empty one."""
+    return F.when(primitive.isNotNull(), primitive["value"].isNotNull())
+
+
+def get_value(primitive: Column) -> Column:
+    return primitive["value"]

@@ -87,8 +87,9 @@ def truncated(c: Column, scale: int = 8) -> Column:
 
 
 def divide(a: Column, b: Column) -> Column:
-    """Exact decimal quotient, cut to eight digits; empty for a zero divisor."""
-    return truncated(F.try_divide(a.cast("decimal(18,8)"), b.cast("decimal(18,8)"))).cast("decimal(38,8)")
+    """Decimal quotient, found to ten digits and cut to eight; empty for a zero divisor, and for operands of more than
+    twenty digits before the point."""
+    return truncated(F.try_divide(a.try_cast("decimal(28,8)"), b.try_cast("decimal(28,8)"))).cast("decimal(38,8)")
 
 
 def div(a: Column, b: Column) -> Column:
@@ -107,4 +108,5 @@ def concat(a: Column, b: Column) -> Column:
 
 
 def negate(a: Column) -> Column:
-    return -a
+    """Empty for the least integer, which has no opposite."""
+    return F.try_subtract(F.lit(0), a)

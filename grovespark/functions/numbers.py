@@ -10,17 +10,22 @@ def abs_(c: Column) -> Column:
     return F.abs(c)
 
 
+def _long(c: Column, whole: Column) -> Column:
+    return F.when(F.abs(c.cast("double")) < 9.223372036854775e18, whole.cast("long"))
+
+
 def ceiling(c: Column) -> Column:
-    return F.ceil(c).cast("long")
+    """Empty beyond 64 bits, as floor and truncate are."""
+    return _long(c, F.ceil(c))
 
 
 def floor(c: Column) -> Column:
-    return F.floor(c).cast("long")
+    return _long(c, F.floor(c))
 
 
 def truncate(c: Column) -> Column:
     """Towards zero."""
-    return F.when(c < 0, F.ceil(c)).otherwise(F.floor(c)).cast("long")
+    return _long(c, F.when(c < 0, F.ceil(c)).otherwise(F.floor(c)))
 
 
 def round_(c: Column, digits: int = 0) -> Column:

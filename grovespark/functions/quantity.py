@@ -13,7 +13,7 @@ CODES = {"ms": "millisecond", "s": "second", "min": "minute", "h": "hour", "d":
 
 
 def quantity(value: Column, unit: Column | str) -> Column:
-    return F.struct(value.cast("decimal(28,8)").alias("value"), (F.lit(unit) if isinstance(unit, str) else unit).alias("unit"))
+    return F.struct(value.try_cast("decimal(28,8)").alias("value"), (F.lit(unit) if isinstance(unit, str) else unit).alias("unit"))
 
 
 def _milliseconds(unit: Column) -> Column:
@@ -57,5 +57,34 @@ def multiply(a: Column, b: Column) -> Column:
 def divide(a: Column, b: Column) -> Column:
     """Equal units cancel to '1'; empty for a zero divisor."""
     unit = F.when(a["unit"] == b["unit"], "1").when(b["unit"] == "1", a["unit"]).when(a["unit"] == F.concat(b["unit"], F.lit("2")), b["unit"])
-    value = F.try_divide(a["value"].cast("decimal(18,8)"), b["value"].cast("decimal(18,8)"))
+    value = F.try_divide(a["value"], b["value"]).try_cast("decimal(28,8)")
     return F.when(value.isNotNull(), quantity(value, F.coalesce(unit, F.concat_ws("/", a["unit"], b["unit"]))))
+
+
+def comparable(a: Column, b: Column) -> Column:
+    """Whether the units are the same or convert; empty for an empty quantity."""
+    convert = (a["unit"] == b["unit"]) | (_milliseconds(a["unit"]).isNotNull() & _milliseconds(b["unit"]).isNotNull())
+    return F.when(a.isNotNull() & b.isNotNull(), convert)
+
+
+def equivalent(a: Column, b: Column) -> Column:
+    """Equal after conversion; false if the units don't convert or only one is empty, true if both are."""
+    return F.when(a.isNull() & b.isNull(), True).otherwise(F.coalesce(compare(a, b) == 0, F.lit(False)))
+
+
+def _in_unit_of(a: Column, b: Column) -> Column:
+    """b's value in a's unit, empty if it doesn't convert or is zero."""
+    other = F.when(a["unit"] == b["unit"], b["value"]).otherwise(b["value"] * _milliseconds(b["unit"]) / _milliseconds(a["unit"]))
+    return F.nullif(other.try_cast("decimal(28,8)"), F.lit(0).cast("decimal(28,8)"))
+
+
+def div(a: Column, b: Column) -> Column:
+    """Whole part of the quotient of convertible quantities, of unit '1'."""
+    value = F.call_function("div", a["value"], _in_unit_of(a, b))
+    return F.when(value.isNotNull(), quantity(value, "1"))
+
+
+def mod(a: Column, b: Column) -> Column:
+    """Remainder of div, in a's unit."""
+    value = F.try_mod(a["value"], _in_unit_of(a, b))
+    return F.when(value.isNotNull(), quantity(value, a["unit"]))

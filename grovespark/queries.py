@@ -60,9 +60,21 @@ class Columns:
     def since(self) -> Column:
         return F.lit("2000-03-15 10:20:30").cast("timestamp")
 
+    def pick(self, a: Column | str, b: Column | str) -> Column:
+        """One of two values, by the event's k."""
+        a, b = (x if isinstance(x, Column) else F.lit(x) for x in (a, b))
+        return F.when(self.k.cast("long") > 50, a).otherwise(b)
+
+    @property
+    def mixed(self) -> Column:
+        """A number or a string, by the event's k."""
+        return trees.tree(self.pick(self.k, F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))))
+
     @property
-    def head(self) -> Column:
-        return F.substring(self.text, 1, 40)
+    def primitive(self) -> Column:
+        """A primitive with metadata: now and then without a value, now and then with an extension."""
+        more = F.struct(F.lit("x").alias("id"), F.array(F.struct(F.lit("http://k").alias("url"), self.k.alias("value")), F.struct(F.lit("http://t").alias("url"), F.lit("t").alias("value"))).alias("extension"))
+        return sources.merged_primitive(F.nullif(F.col("event_type"), F.lit("error")), self.pick(more, F.lit(None)))
 
     @property
     def item(self) -> Column:
@@ -95,7 +107,6 @@ Expression = Callable[[Columns], Column]
 _KEYS = {"documents": "doc_id", "events": "event_id", "orders": "o_orderkey", "customer": "c_custkey", "part": "p_partkey", "labels": "doc_id", "embeddings": "vec_id"}
 _SK = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 _TWO = "o_orderdate, TIMESTAMP '2000-03-15 10:20:30'"
-_HEAD = "substr(text, 1, 40)"
 
 SCALARS: list[tuple[str, str, Expression, str]] = [
     ("string_starts_with", "documents", lambda v: strings.starts_with(v.text, F.lit("Th")), "starts_with(text, 'Th')"),
@@ -104,30 +115,30 @@ SCALARS: list[tuple[str, str, Expression, str]] = [
     ("string_substring", "documents", lambda v: strings.substring(v.text, 5, 10), "CASE WHEN len(text) > 5 THEN substr(text, 6, 10) END"),
     ("string_substring_open", "documents", lambda v: strings.substring(F.col("lang"), 1), "CASE WHEN len(lang) > 1 THEN substr(lang, 2) END"),
     ("string_index_of", "documents", lambda v: strings.index_of(v.text, F.lit("the")).cast("long"), "CAST(strpos(text, 'the') - 1 AS BIGINT)"),
-    ("string_last_index_of", "documents", lambda v: strings.last_index_of(v.head, F.lit("e")).cast("long"),
-     f"CAST(CASE WHEN strpos({_HEAD}, 'e') = 0 THEN -1 ELSE len({_HEAD}) - strpos(reverse({_HEAD}), 'e') END AS BIGINT)"),
+    ("string_last_index_of", "documents", lambda v: strings.last_index_of(v.text, F.lit("e")).cast("long"),
+     "CAST(CASE WHEN strpos(text, 'e') = 0 THEN -1 ELSE len(text) - strpos(reverse(text), 'e') END AS BIGINT)"),
     ("string_length", "documents", lambda v: strings.length(v.text).cast("long"), "CAST(len(text) AS BIGINT)"),
     ("string_upper", "documents", lambda v: strings.upper(F.col("lang")), "upper(lang)"),
     ("string_lower", "part", lambda v: strings.lower(F.col("p_type")), "lower(p_type)"),
     ("string_replace", "documents", lambda v: strings.replace(v.text, "the", "THE"), "replace(text, 'the', 'THE')"),
     ("string_replace_empty", "documents", lambda v: strings.replace(F.col("lang"), "", "-"), "'-' || array_to_string(string_split(lang, ''), '-') || '-'"),
     ("string_trim", "documents", lambda v: strings.trim(F.concat(F.lit(" \t"), F.col("lang"), F.lit("\n "))), "lang"),
-    ("string_join_split", "documents", lambda v: strings.join(strings.split(v.head, " "), "|"), f"array_to_string(string_split({_HEAD}, ' '), '|')"),
-    ("string_to_chars", "documents", lambda v: F.size(strings.to_chars(v.head)).cast("long"), f"CAST(len({_HEAD}) AS BIGINT)"),
+    ("string_join_split", "documents", lambda v: strings.join(strings.split(v.text, " "), "|"), "array_to_string(string_split(text, ' '), '|')"),
+    ("string_to_chars", "documents", lambda v: F.size(strings.to_chars(v.text)).cast("long"), "CAST(len(text) AS BIGINT)"),
     ("regex_matches", "documents", lambda v: strings.matches(v.text, "[0-9]{3}"), "regexp_matches(text, '[0-9]{3}', 's')"),
     ("regex_matches_flags", "documents", lambda v: strings.matches(v.text, "^THE", "im"), "regexp_matches(text, '(?ism)^THE')"),
     ("regex_matches_full", "documents", lambda v: strings.matches_full(F.col("source"), "src[0-9]"), "regexp_full_match(source, 'src[0-9]')"),
-    ("regex_replace_matches", "documents", lambda v: strings.replace_matches(v.head, "([aeiou])n", "<$1>"), f"regexp_replace({_HEAD}, '([aeiou])n', '<\\1>', 'g')"),
-    ("encode_hex", "documents", lambda v: strings.encode(v.head, "hex"), f"lower(hex(encode({_HEAD})))"),
-    ("encode_base64", "documents", lambda v: strings.encode(v.head, "base64"), f"to_base64(encode({_HEAD}))"),
-    ("encode_urlbase64", "documents", lambda v: strings.encode(v.head, "urlbase64"), f"translate(to_base64(encode({_HEAD})), '+/', '-_')"),
-    ("decode_hex", "documents", lambda v: strings.decode(strings.encode(v.head, "hex"), "hex"), _HEAD),
-    ("decode_base64", "documents", lambda v: strings.decode(strings.encode(v.head, "base64"), "base64"), _HEAD),
-    ("decode_urlbase64", "documents", lambda v: strings.decode(strings.encode(v.head, "urlbase64"), "urlbase64"), _HEAD),
+    ("regex_replace_matches", "documents", lambda v: strings.replace_matches(v.text, "([aeiou])n", "<$1>"), "regexp_replace(text, '([aeiou])n', '<\\1>', 'g')"),
+    ("encode_hex", "documents", lambda v: strings.encode(v.text, "hex"), "lower(hex(encode(text)))"),
+    ("encode_base64", "documents", lambda v: strings.encode(v.text, "base64"), "to_base64(encode(text))"),
+    ("encode_urlbase64", "documents", lambda v: strings.encode(v.text, "urlbase64"), "translate(to_base64(encode(text)), '+/', '-_')"),
+    ("decode_hex", "documents", lambda v: strings.decode(strings.encode(v.text, "hex"), "hex"), "text"),
+    ("decode_base64", "documents", lambda v: strings.decode(strings.encode(v.text, "base64"), "base64"), "text"),
+    ("decode_urlbase64", "documents", lambda v: strings.decode(strings.encode(v.text, "urlbase64"), "urlbase64"), "text"),
     ("escape_html", "documents", lambda v: strings.escape(v.text, "html"), "replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"),
-    ("unescape_html", "documents", lambda v: strings.unescape(strings.escape(v.head, "html"), "html"), _HEAD),
-    ("escape_json", "documents", lambda v: strings.escape(v.head, "json"), f"replace(replace(replace({_HEAD}, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n')"),
-    ("unescape_json", "documents", lambda v: strings.unescape(strings.escape(v.head, "json"), "json"), _HEAD),
+    ("unescape_html", "documents", lambda v: strings.unescape(strings.escape(v.text, "html"), "html"), "text"),
+    ("escape_json", "documents", lambda v: strings.escape(v.text, "json"), "replace(replace(replace(text, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n')"),
+    ("unescape_json", "documents", lambda v: strings.unescape(strings.escape(v.text, "json"), "json"), "text"),
     ("string_equivalent", "documents", lambda v: logic.text_equivalent(F.col("lang"), F.lit("EN")), "lower(lang) = 'en'"),
     ("string_concat", "documents", lambda v: logic.concat(F.col("lang"), F.nullif(F.col("source"), F.lit("src1"))), "lang || coalesce(nullif(source, 'src1'), '')"),
     ("math_abs", "customer", lambda v: F.round(numbers.abs_(F.col("c_acctbal")), 2), "round(abs(c_acctbal), 2)"),
@@ -157,7 +168,7 @@ SCALARS: list[tuple[str, str, Expression, str]] = [
     ("bool_implies", "events", lambda v: logic.implies(F.nullif(v.value > 5, F.lit(True)), v.k.cast("long") > 50), f"NOT nullif(value > 5, true) OR {_SK} > 50"),
     ("bool_xor", "events", lambda v: logic.xor(v.value > 5, v.k.cast("long") > 50), f"(value > 5) <> ({_SK} > 50)"),
     ("bool_not", "events", lambda v: logic.not_(v.value > 5), "NOT value > 5"),
-    ("iif", "events", lambda v: c.iif(F.nullif(v.value > 5, F.lit(True)), F.lit("a"), F.lit("b")), "'b'"),
+    ("iif", "events", lambda v: c.iif(F.nullif(v.value > 5, v.k.cast("long") > 50), F.lit("a"), F.lit("b")), f"CASE WHEN nullif(value > 5, {_SK} > 50) THEN 'a' ELSE 'b' END"),
     ("coalesce", "events", lambda v: c.coalesce(F.nullif(F.col("event_type"), F.lit("error")), F.lit("none")), "coalesce(nullif(event_type, 'error'), 'none')"),
     ("define_variable", "events", lambda v: c.let(v.k.cast("long") * 2, lambda v: v * v + v), f"({_SK} * 2) * ({_SK} * 2) + {_SK} * 2"),
     ("date_year", "orders", lambda v: temporal.year_of(v.day), "CAST(year(o_orderdate) AS INT)"),
@@ -168,10 +179,10 @@ SCALARS: list[tuple[str, str, Expression, str]] = [
     ("time_minute", "events", lambda v: temporal.minute_of(v.minute), "CAST(minute(ts) AS INT)"),
     ("time_second", "events", lambda v: temporal.second_of(v.ms), "CAST(floor(second(ts)) AS INT)"),
     ("time_millisecond", "events", lambda v: temporal.millisecond_of(v.ms), "CAST(millisecond(ts) % 1000 AS INT)"),
-    ("time_zone_offset", "events", lambda v: temporal.timezone_offset_of(F.concat(v.minute, F.lit("-05:30"))), "CAST(-5.5 AS DOUBLE)"),
+    ("time_zone_offset", "events", lambda v: temporal.timezone_offset_of(F.concat(v.minute, v.pick("-05:30", "+02:15"))), f"CASE WHEN {_SK} > 50 THEN -5.5 ELSE 2.25 END::DOUBLE"),
     ("date_of", "events", lambda v: temporal.date_of(v.minute), "strftime(ts, '%Y-%m-%d')"),
     ("time_of", "events", lambda v: temporal.time_of(v.minute), "strftime(ts, '%H:%M')"),
-    ("date_precision", "events", lambda v: temporal.precision(v.minute).cast("long"), "CAST(12 AS BIGINT)"),
+    ("date_precision", "events", lambda v: temporal.precision(v.pick(v.minute, temporal.text_of(F.col("ts"), "month"))).cast("long"), f"CAST(CASE WHEN {_SK} > 50 THEN 12 ELSE 6 END AS BIGINT)"),
     ("date_low_boundary", "orders", lambda v: temporal.low_boundary(temporal.text_of(v.date, "month")), "strftime(o_orderdate, '%Y-%m-01')"),
     ("date_high_boundary", "orders", lambda v: temporal.high_boundary(temporal.text_of(v.date, "month")), "strftime(last_day(o_orderdate), '%Y-%m-%d')"),
     ("datetime_low_boundary", "events", lambda v: temporal.low_boundary(v.minute), "strftime(ts, '%Y-%m-%dT%H:%M') || ':00.000+14:00'"),
@@ -195,7 +206,7 @@ SCALARS: list[tuple[str, str, Expression, str]] = [
      "'2024-05-06T07:08:09.010+00:00 2024-05-06 07:08:09.010'"),
     ("quantity_compare", "events", lambda v: quantity.compare(quantity.quantity(v.value, "h"), quantity.quantity(F.lit(600), "minutes")), "CASE WHEN value * 60 < 600 THEN -1 WHEN value * 60 > 600 THEN 1 ELSE 0 END"),
     ("quantity_add", "events", lambda v: quantity.add(quantity.quantity(v.q, "day"), quantity.quantity(F.lit(12), "hour"))["value"].cast("double"), "CAST(CAST(value AS DECIMAL(18, 2)) AS DOUBLE) + 0.5"),
-    ("quantity_multiply", "events", lambda v: quantity.multiply(quantity.quantity(v.q, "cm"), quantity.quantity(F.lit(2), "cm"))["unit"], "'cm2'"),
+    ("quantity_multiply", "events", lambda v: quantity.multiply(quantity.quantity(v.q, "cm"), quantity.quantity(F.lit(2), v.pick("cm", "kg")))["unit"], f"CASE WHEN {_SK} > 50 THEN 'cm2' ELSE 'cm.kg' END"),
     ("convert_to_integer", "events", lambda v: convert.to_integer(v.k), _SK),
     ("convert_to_integer_fails", "events", lambda v: convert.to_integer(F.concat(F.lit(" "), v.k)), "CAST(NULL AS BIGINT)"),
     ("convert_to_boolean", "labels", lambda v: convert.to_boolean(F.col("toxic")), "toxic = 1"),
@@ -204,13 +215,43 @@ SCALARS: list[tuple[str, str, Expression, str]] = [
     ("convert_to_date", "events", lambda v: convert.to_date(v.minute), "strftime(ts, '%Y-%m-%d')"),
     ("convert_to_datetime", "events", lambda v: convert.to_datetime(v.minute), "strftime(ts, '%Y-%m-%dT%H:%M')"),
     ("convert_to_time", "events", lambda v: convert.to_time(temporal.time_of(v.minute)), "strftime(ts, '%H:%M')"),
-    ("convert_to_quantity", "events", lambda v: convert.to_quantity(F.concat(v.k, F.lit(" days")))["unit"], "'day'"),
-    ("converts_to_integer", "events", lambda v: convert.converts_to_integer(F.col("event_type")), "false"),
-    ("converts_to_date", "events", lambda v: convert.converts_to_date(v.minute), "true"),
+    ("convert_to_quantity", "events", lambda v: convert.to_quantity(F.concat(v.k, v.pick(" days", " 'mg'")))["unit"], f"CASE WHEN {_SK} > 50 THEN 'day' ELSE 'mg' END"),
+    ("converts_to_integer", "events", lambda v: convert.converts_to_integer(v.pick(v.k, F.col("event_type"))), f"{_SK} > 50"),
+    ("converts_to_date", "events", lambda v: convert.converts_to_date(v.pick(v.minute, F.col("event_type"))), f"{_SK} > 50"),
     ("json_path", "events", lambda v: trees.field(trees.tree(F.col("props")), "k", "bigint"), _SK),
-    ("type_is", "events", lambda v: trees.is_type(F.try_variant_get(trees.tree(F.col("props")), "$.k", "variant"), "Integer"), "true"),
-    ("type_as", "events", lambda v: trees.as_type(F.try_variant_get(trees.tree(F.col("props")), "$.k", "variant"), "String"), "CAST(NULL AS VARCHAR)"),
+    ("type_is", "events", lambda v: trees.is_type(v.mixed, "Integer"), f"{_SK} > 50"),
+    ("type_as", "events", lambda v: trees.as_type(v.mixed, "String"), f"CASE WHEN {_SK} <= 50 THEN event_type END"),
     ("choice", "events", lambda v: sources.choice(valueString=F.nullif(F.col("event_type"), F.lit("error")), valueQuantity=v.k)["type"], "CASE WHEN event_type <> 'error' THEN 'valueString' ELSE 'valueQuantity' END"),
+    ("type_of", "events", lambda v: trees.type_of(v.mixed)["name"], f"CASE WHEN {_SK} > 50 THEN 'Integer' ELSE 'String' END"),
+    ("compare_less_or_equal", "events", lambda v: logic.less_or_equal(v.k.cast("long"), F.lit(10)), f"{_SK} <= 10"),
+    ("compare_greater", "events", lambda v: logic.greater(v.k.cast("long"), F.lit(10)), f"{_SK} > 10"),
+    ("arith_negate_least", "events", lambda v: logic.negate(v.pick(F.lit(-(1 << 63)), v.k.cast("long"))), f"CASE WHEN {_SK} <= 50 THEN -{_SK} END"),
+    ("arith_divide_large", "events", lambda v: logic.divide(v.k.cast("long") * 20_000_000_000, F.lit(2)).cast("long"), f"{_SK} * 10000000000"),
+    ("math_ceiling_large", "events", lambda v: numbers.ceiling(v.pick(F.lit(1e20), v.value)), f"CASE WHEN {_SK} <= 50 THEN CAST(ceil(value) AS BIGINT) END"),
+    ("convert_to_long", "events", lambda v: convert.to_long(v.pick(v.k, F.col("event_type"))), f"CASE WHEN {_SK} > 50 THEN {_SK} END"),
+    ("converts_to_boolean", "events", lambda v: convert.converts_to_boolean(v.pick(F.lit("yes"), F.col("event_type"))), f"{_SK} > 50"),
+    ("converts_to_long", "events", lambda v: convert.converts_to_long(v.pick(v.k, F.col("event_type"))), f"{_SK} > 50"),
+    ("converts_to_decimal", "events", lambda v: convert.converts_to_decimal(v.pick(F.concat(v.k, F.lit(".50")), F.concat(v.k, F.lit("e1")))), f"{_SK} > 50"),
+    ("converts_to_string", "events", lambda v: convert.converts_to_string(F.nullif(v.k.cast("long"), F.lit(7).cast("long"))), f"CASE WHEN {_SK} <> 7 THEN true END"),
+    ("converts_to_datetime", "events", lambda v: convert.converts_to_datetime(v.pick(v.ms, F.concat(v.ms, F.lit("x")))), f"{_SK} > 50"),
+    ("converts_to_time", "events", lambda v: convert.converts_to_time(v.pick(temporal.time_of(v.ms), v.ms)), f"{_SK} > 50"),
+    ("converts_to_quantity", "events", lambda v: convert.converts_to_quantity(F.concat(v.k, v.pick(" days", " moons"))), f"{_SK} > 50"),
+    ("quantity_subtract", "events", lambda v: quantity.subtract(quantity.quantity(v.q, "day"), quantity.quantity(F.lit(12), "hour"))["value"].cast("double"), "CAST(CAST(value AS DECIMAL(18, 2)) AS DOUBLE) - 0.5"),
+    ("quantity_divide", "events", lambda v: quantity.divide(quantity.quantity(v.k, "cm2"), quantity.quantity(F.lit(4), v.pick("cm", "cm2")))["unit"], f"CASE WHEN {_SK} > 50 THEN 'cm' ELSE '1' END"),
+    ("quantity_equivalent", "events", lambda v: quantity.equivalent(quantity.quantity(v.k.cast("long") % 3, v.pick("day", "kg")), quantity.quantity(F.lit(24), "hour")), f"{_SK} > 50 AND {_SK} % 3 = 1"),
+    ("quantity_div", "events", lambda v: quantity.div(quantity.quantity(v.k, "hour"), quantity.quantity(F.lit(90), v.pick("minute", "kg")))["value"].cast("long"), f"CASE WHEN {_SK} > 50 THEN {_SK} * 60 // 90 END"),
+    ("quantity_mod", "events", lambda v: quantity.mod(quantity.quantity(v.k, "hour"), quantity.quantity(F.lit(90), v.pick("minute", "kg")))["value"].cast("double"), f"CASE WHEN {_SK} > 50 THEN ({_SK} * 60 % 90) / 60.0 END"),
+    ("quantity_comparable", "events", lambda v: quantity.comparable(quantity.quantity(v.k, "hour"), quantity.quantity(F.lit(90), v.pick("minute", "kg"))), f"{_SK} > 50"),
+    ("extension", "events", lambda v: F.get(c.extension(v.primitive, "http://k"), F.lit(0))["value"], f"CASE WHEN {_SK} > 50 THEN CAST({_SK} AS VARCHAR) END"),
+    ("has_value", "events", lambda v: c.has_value(v.primitive), f"CASE WHEN event_type <> 'error' THEN true WHEN {_SK} > 50 THEN false END"),
+    ("get_value", "events", lambda v: c.get_value(v.primitive), "nullif(event_type, 'error')"),
+    ("datetime_add_minutes", "events", lambda v: temporal.add(v.pick(v.minute, v.ms), 90, "minute"), f"CASE WHEN {_SK} > 50 THEN strftime(ts + INTERVAL 90 MINUTE, '%Y-%m-%dT%H:%M') ELSE strftime(ts + INTERVAL 90 MINUTE, '%Y-%m-%dT%H:%M:%S.%g') END"),
+    ("datetime_add_column", "events", lambda v: temporal.add(v.ms, v.k.cast("long"), "second"), f"strftime(ts + to_seconds({_SK}), '%Y-%m-%dT%H:%M:%S.%g')"),
+    ("date_add_column", "orders", lambda v: temporal.add(v.day, F.col("o_custkey") % 25, "month"), "strftime(o_orderdate + to_months(CAST(o_custkey % 25 AS INT)), '%Y-%m-%d')"),
+    ("time_low_boundary", "events", lambda v: temporal.low_boundary(v.pick(temporal.time_of(v.minute), v.minute), 6), f"CASE WHEN {_SK} > 50 THEN strftime(ts, '%H:%M') || ':00' ELSE strftime(ts, '%Y-%m') END"),
+    ("time_high_boundary", "events", lambda v: temporal.high_boundary(temporal.time_of(v.minute)), "strftime(ts, '%H:%M') || ':59.999'"),
+    ("date_boundary_precision", "orders", lambda v: temporal.high_boundary(temporal.text_of(v.date, "year"), 6), "year(o_orderdate) || '-12'"),
+    ("decimal_boundary_precision", "events", lambda v: F.round(temporal.decimal_high_boundary(v.q.cast("string"), 1).cast("double"), 1), "CAST(ceil((CAST(value AS DECIMAL(18, 3)) + 0.005) * 10) AS DOUBLE) / 10"),
     ("vector_count_positive", "embeddings", lambda v: c.count(c.where(F.col("embedding"), lambda e: e > 0)), "CAST(len(list_filter(embedding, lambda x: x > 0)) AS BIGINT)"),
 ]
 _KEYS["region"] = "r_regionkey"
@@ -251,9 +292,9 @@ PER_ORDER: list[tuple[str, Expression, str]] = [
     ("in", lambda v: c.in_(F.lit("R"), v.flag), _PER.format("coalesce(bool_or(l_returnflag = 'R'), false)")),
     ("contains", lambda v: c.contains(v.flag, F.lit("A")), _PER.format("coalesce(bool_or(l_returnflag = 'A'), false)")),
     ("subset_of", lambda v: c.subset_of(v.big, v.even), _PER.format("coalesce(bool_and(l_quantity <= 25 OR l_returnflag IN (SELECT x.l_returnflag FROM li x WHERE x.o_orderkey = li.o_orderkey AND x.i % 2 = 0)), true)")),
-    ("superset_of", lambda v: c.superset_of(v.flag, v.big), _PER.format("true")),
-    ("equal", lambda v: c.equal(v.flag, v.flag), _PER.format("CASE WHEN count(i) > 0 THEN true END")),
-    ("equivalent", lambda v: c.equivalent(v.flag, F.reverse(v.flag)), _PER.format("true")),
+    ("superset_of", lambda v: c.superset_of(v.big, v.even), _PER.format("coalesce(bool_and(i % 2 = 1 OR l_returnflag IN (SELECT x.l_returnflag FROM li x WHERE x.o_orderkey = li.o_orderkey AND x.l_quantity > 25)), true)")),
+    ("equal", lambda v: c.equal(v.flag, F.reverse(v.flag)), _PER.format("CASE WHEN count(i) > 0 THEN list(l_returnflag ORDER BY i) = list(l_returnflag ORDER BY i DESC) END")),
+    ("equivalent", lambda v: c.equivalent(v.big, v.even), _PER.format("coalesce(list_sort(list(l_returnflag) FILTER (WHERE l_quantity > 25)), []) = coalesce(list_sort(list(l_returnflag) FILTER (WHERE i % 2 = 0)), [])")),
     ("coalesce_items", lambda v: c.count(c.coalesce_items(c.where(v.item, lambda e: e["l_quantity"] > 45), v.item)), _PER.format("CASE WHEN count(*) FILTER (WHERE l_quantity > 45) > 0 THEN count(*) FILTER (WHERE l_quantity > 45) ELSE count(i) END")),
     ("pruned_exists", lambda v: c.exists(leaves(v.item, "l_quantity", "l_discount"), lambda e: (e["l_quantity"] > 40) & (e["l_discount"] > 0.05)), _PER.format("coalesce(bool_or(l_quantity > 40 AND l_discount > 0.05), false)")),
 ]
@@ -290,20 +331,6 @@ def _collection(name: str, column: Expression, sql: str) -> None:
     SQL[name] = _LI + sql
 
 
-class WholeTexts(Columns):
-    """The same columns, with all of the text where Columns has its head."""
-
-    @property
-    def head(self) -> Column:
-        return self.text
-
-
-def _whole(expression: Expression) -> Expression:
-    return lambda _: expression(WholeTexts())
-
-
-SCALARS += [(f"{name}_whole", of, _whole(e), sql.replace(_HEAD, "text")) for name, of, e, sql in SCALARS if _HEAD in sql]
-
 for _row in SCALARS:
     _scalar(*_row)
 for _row in PER_ORDER:
@@ -409,3 +436,17 @@ def running_fold(s: SparkSession, d: str) -> DataFrame:
 @_add("windowed_events", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def windowed_events(s: SparkSession, d: str) -> DataFrame:
     return streaming.windowed(table(s, d, "events")).withColumn("total", F.round("total", 2))
+
+
+@_add("sessions", """WITH o AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM o)
+SELECT min(ts) AS start, user_id, count(*) AS n FROM g GROUP BY user_id, session""")
+def sessions(s: SparkSession, d: str) -> DataFrame:
+    return streaming.sessions(table(s, d, "events"))
+
+
+@_add("repeat_all", "SELECT c_custkey AS root, 'n' || n_nationkey AS node FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT c_custkey, 'r' || n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def repeat_all(s: SparkSession, d: str) -> DataFrame:
+    customers, nations = table(s, d, "customer"), table(s, d, "nation")
+    up = customers.selectExpr("concat('c', c_custkey) src", "concat('n', c_nationkey) dst").union(nations.selectExpr("concat('n', n_nationkey) src", "concat('r', n_regionkey) dst"))
+    return rows.repeat(customers.selectExpr("c_custkey root", "concat('c', c_custkey) node"), up, distinct=False)
