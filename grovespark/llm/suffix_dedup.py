@@ -31,7 +31,7 @@ SIDE = WIDTH - GRAM
 #: Bytes of one symbol of the transforms; divides WIDTH.
 SYMBOL = 50
 #: Differing contexts of an anchor that are merged in one task; those of other anchors are sorted across tasks.
-MOST_CONTEXTS = 2048
+MOST_CONTEXTS = 512
 #: Context bytes merged at once, and shards they are split into.
 BATCH_BYTES, SHARDS = 1 << 19, 8
 #: Bytes of a text whose anchors are looked for at once, and of texts that a task holds between rows it hands on.
