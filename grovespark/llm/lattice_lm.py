@@ -338,15 +338,15 @@ def _emit(id_col: str, text_col: str, head):
             ids: list[int | None] = []
             for k, text in enumerate(batch.column(text_col).to_pylist()):
                 words, row = words_of(text), row + 1
-                sums = [int(end[0] > 0), *end[1:]]
+                known, base, score, mixed = int(end[0] > 0), *end[1:]
                 for w, n in Counter(words).items():
                     got = table.get(w)
                     if got:
-                        sums = [sums[0] + n * (got[0] > 0), *(x + n * y for x, y in zip(sums[1:], got[1:], strict=True))]
+                        known, base, score, mixed = known + n * (got[0] > 0), base + n * got[1], score + n * got[2], mixed + n * got[3]
                     else:
                         out.append((row, w.decode("utf-8", "surrogatepass"), n, 0, 0.0, 0.0, 0.0))
                         ids.append(None)
-                out.append((row, f" {row}", -1 - len(words), *sums))  # no word has a blank
+                out.append((row, f" {row}", -1 - len(words), known, base, score, mixed))  # no word has a blank
                 ids.append(k)
             columns = list(zip(*out, strict=True))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
