@@ -25,6 +25,19 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+#: Bytes of an Arrow batch, which the JVM and its Python worker each hold once or more.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(docs: DataFrame) -> DataFrame:
+    """The documents, for work in Arrow batches: unless the session says otherwise, a batch is bounded by bytes too, as
+    10,000 rows can be any amount of text."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if docs.sparkSession.conf.get(key, None) is None:
+        docs.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return docs
+
+
 def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in runs of a few rows, so that a task holds the Python objects of these only; at the partition's end
     the worker, which lives on, gives free memory back."""

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .common import in_slices
+from .common import bounded, in_slices
 
 #: Words are runs of ASCII letters and digits and of all code points from U+0080, whose UTF-8 bytes are all >= 0x80.
 _FOLD = bytes(
@@ -135,7 +135,7 @@ def annotate(
     words are one window each; items and documents without words never match. Null texts have no words. A null among
     the items, at their end, stands for those without an id. Repeated documents get a row each. Empty tables give no
     rows, or documents without hits."""
-    spark = docs.sparkSession
+    spark = bounded(docs).sparkSession
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     shared = [spark.sparkContext.broadcast(GramSet(block, n)) for block in _blocks(bench, item_col, item_text_col, block_bytes)]
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -199,7 +199,7 @@ def remove(
     All columns stay as they are, whatever their names. Each benchmark block is one more pass; the hits of all of
     them together are judged."""
     assert mode in ("documents", "spans")
-    spark, at = docs.sparkSession, docs.columns.index(text_col)
+    spark, at = bounded(docs).sparkSession, docs.columns.index(text_col)
     marked = StructType([*docs.schema.fields, StructField("__hit_words", ArrayType(IntegerType()))])
     out = docs.select("*", F.array().cast("array<int>").alias("__hit_words"))
     for block in _blocks(bench, item_col, item_text_col, block_bytes):

@@ -19,7 +19,7 @@ from xxhash import xxh64_intdigest
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, in_slices, saved
+from .common import Scratch, bounded, in_slices, saved
 
 _OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>")
 _PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
@@ -351,7 +351,7 @@ def templates(
 
     The main block is, of the boxes on so many pages, the one of least text that has half of the host's text. A host has
     at most 1 / share times as many of either as a page has."""
-    counts = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(_count, _COUNTS)
+    counts = bounded(pages).select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(_count, _COUNTS)
     counts = counts.groupBy("host", "key", "place").agg(
         F.sum("n").alias("n"), F.sum("size").alias("size"), F.max("box").alias("box"), F.max("above").alias("above")
     )
@@ -394,7 +394,7 @@ def extract(
                 texts.append(Page(html).main_text(*known, priors))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
-    out = rows.mapInArrow(run, f"id {kinds[id_col]}, url {kinds[url_col]}, text string")
+    out = bounded(rows).mapInArrow(run, f"id {kinds[id_col]}, url {kinds[url_col]}, text string")
     return out.withColumnsRenamed({"id": id_col, "url": url_col})
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, saved
+from .common import bounded, in_slices, saved
 
 #: A word with at least this share of all tokens is broadcast; there can't be more than its inverse of them.
 HEAD_SHARE = 1 / 250_000
@@ -363,7 +363,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pa
     Words of head_share (HEAD_SHARE) of the tokens are broadcast. Rows that share an id are scored each; a text of any length is read
     whole; other columns, whatever their names, play no part; no documents give no rows. Training texts are those whose crc32(id as text) mod 5 is not 1, or that have no id. A null text is empty: one token, its end.
     Without training texts no word is known and the pieces keep their first scores."""
-    spark = docs.sparkSession
+    spark = bounded(docs).sparkSession
     counts = saved(count_words(docs, id_col=id_col, text_col=text_col), "words")
     facts = counts.agg(
         F.sum("c"), F.sum(F.when(F.col("c") > 0, 1).otherwise(0)), F.sum((F.col("c") == 1).cast("long")),

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_IDS, Scratch, in_slices, rows_of, saved
+from .common import MOST_IDS, Scratch, bounded, in_slices, rows_of, saved
 
 _SPACE = re.compile(r"[ \t\r\f\v]+")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -134,7 +134,7 @@ def dedup(
     length is read whole; other columns, whatever their names, play no part.
 
     Units meet in two plain shuffles by digest, so a digest that a third of all documents hold is split at run time."""
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    kind = bounded(docs).select(id_col).schema[0].dataType.simpleString()
     rank = F.col(rank_col or id_col).alias("rank")
     whole = docs.select(rank, F.col(id_col).alias("id"), F.hash(text_col).alias("th"), F.col(text_col).alias("text"))
     who = whole.where("id is not null").select(F.struct("rank", "id", "th").alias("who"), "text")

@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M3, Scratch, in_slices, mix64, release, rows_of, saved
+from .common import M3, Scratch, bounded, in_slices, mix64, release, rows_of, saved
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 4
@@ -433,7 +433,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     one vector; other columns of the documents, whatever their names, play no part.
 
     A bucket of over CHUNK texts sends rows that grow with the square of those outside its largest class."""
-    spark = docs.sparkSession
+    spark = bounded(docs).sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
     model = spark.sparkContext.broadcast(weights(texts.select("text")))
     with Scratch() as scratch:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import in_slices, saved
+from .common import bounded, in_slices, saved
 
 #: Pieces that one task packs together, and full sequences that it makes of them at least.
 BLOCK, LEAST_SEQUENCES = 16_384, 256
@@ -146,7 +146,7 @@ def tokenise(
     """Rows (id, piece, start, length, ids_crc32[, ids]) of every document: its ids, then end_id, cut after each
     `most`. A null or empty text is the single end id. Ids of documents may repeat; each row is cut on its own."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    spec = docs.sparkSession.sparkContext.broadcast(tokenizer_json(path))
+    spec = bounded(docs).sparkSession.sparkContext.broadcast(tokenizer_json(path))
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return docs.select(id_col, text_col).mapInArrow(_pieces(spec, id_col, text_col, end_id, most, with_ids), schema)
 

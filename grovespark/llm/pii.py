@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, in_slices, saved
+from .common import Scratch, bounded, in_slices, saved
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -182,7 +182,7 @@ def _scan(id_col: str, text_col: str):
 def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, found array<struct<kind,start,end,votes,features>>) of every document row; offsets are code points."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(_scan(id_col, text_col), f"id {kind}, {_FOUND}")
+    return bounded(docs).select(id_col, text_col).mapInArrow(_scan(id_col, text_col), f"id {kind}, {_FOUND}")
 
 
 def reliabilities(patterns: list[tuple[int, str, int]], rounds: int = 50) -> dict[tuple[int, str], float]:
@@ -302,7 +302,7 @@ def mask(docs: DataFrame, *, text_col: str = "text", least: float = 0.9) -> Data
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
 
 
 def _joined(c: Column) -> Column:

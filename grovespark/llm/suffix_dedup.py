@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import MOST_IDS, M3, Scratch, in_slices, mix64, release, rows_of, saved
+from .common import MOST_IDS, M3, Scratch, bounded, in_slices, mix64, release, rows_of, saved
 
 WIDTH, GRAM = 400, 200
 SIDE = WIDTH - GRAM
@@ -427,7 +427,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", by
     Null texts count as empty. Every row takes part, those without an id too; rows that share id and text are separate
     occurrences and are treated alike; rows that share only the id are told apart by the text's 32-bit hash. A text of any
     length is read in segments. Other columns, whatever their names, play no part. No documents give no rows."""
-    kind = docs.select(id_col).schema[0].dataType
+    kind = bounded(docs).select(id_col).schema[0].dataType
     key = F.col(id_col).cast("long") if isinstance(kind, IntegralType) else F.xxhash64(id_col)
     texts = docs.select(
         F.col(id_col).alias("own"), F.coalesce(key, F.lit(-(1 << 63))).alias("id"), F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("th"),

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, in_slices
+from .common import Scratch, bounded, in_slices
 
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6)
@@ -147,7 +147,7 @@ def fit(
     """A model from the documents of at most `sample` labelled ids, the ones of lowest hash; grades are 0, 1, ... and null
     counts as unlabelled, as does a null id. Of an id's several labels the highest counts; rows that share a labelled id
     all take part. None if fewer than two grades occur, as in empty tables. Texts of any length take part whole."""
-    spark = docs.sparkSession
+    spark = bounded(docs).sparkSession
     labels = grades.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull())
     labels = labels.groupBy(id_col).agg(F.max(F.col(grade_col)).cast("int").alias("grade"))  # of repeated labels the worst
     with Scratch() as scratch:
@@ -194,7 +194,7 @@ def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_
     if model is None:
         return docs.select(id_col, F.lit(0.0).alias("expected_severity"), F.lit(0).alias("grade"), F.lit(False).alias("rejected"))
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = bounded(docs).sparkSession.sparkContext.broadcast(model)
     out = docs.select(id_col, text_col).mapInArrow(_score(shared, id_col, text_col), f"id {kind}, p array<double>")
     return out.select(
         F.col("id").alias(id_col), F.aggregate("p", F.lit(0.0), lambda a, x: a + x).alias("expected_severity"),
@@ -214,7 +214,7 @@ def reject(docs: DataFrame, model: Model | None, *, text_col: str = "text") -> D
     """The documents, all columns kept, without those of which grade 1 or more is likelier than not."""
     if model is None:
         return docs
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = bounded(docs).sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(_keep(shared, docs.columns.index(text_col)), docs.schema)
 
 
