@@ -10,8 +10,8 @@ priors for hosts of few pages; they never remove what holds an article or most o
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -28,7 +28,6 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|
 _MAIN = re.compile(r"""role\s*=\s*["']?main\b|itemprop\s*=\s*["']?articlebody\b""", re.I)
 _ROLE = re.compile(r"""role\s*=\s*["']?(?:navigation|banner|contentinfo|complementary|search|dialog|alert|form|menu)\b""", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-_SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"[0-9]+")
 #: Tags of a page whose quotes never close, after which quotes aren't respected in it any more.
 BROKEN = 100
@@ -59,13 +58,50 @@ CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"}, "optgroup": {"option", "optgroup"}, "tbody": {"tr", "td", "th", "thead", "tbody"},
 }
+_NO_TAGS: frozenset[str] = frozenset()
 FENCE = frozenset("ul ol dl table td th div article section main body html aside nav footer header form blockquote select".split())
+#: What a start tag closes, and the fences for it.
+CLOSED_BY = {tag: (closed, FENCE - closed) for tag, closed in CLOSES.items()}
+PARAGRAPH, PARAGRAPH_FENCE = frozenset(["p"]), FENCE - {"p"}
 #: Elements that can be a host's main block.
 BOXES = frozenset("article main section div td center body".split())
 #: Text elements that no template removal touches inside an explicit article.
 TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 
 
+def squeeze(text: str) -> str:
+    """White space as single spaces, none at either end."""
+    return " ".join(text.split())
+
+
+def _names(attrs: str) -> list[str]:
+    return [m[1] or m[2] or m[3] or "" for m in _NAMES.finditer(attrs)]
+
+
+@lru_cache(maxsize=1 << 14)
+def _place(above: int, tag: str, attrs: str) -> int:
+    names = _DIGITS.sub("0", " ".join(_names(attrs)).lower()) if attrs else ""
+    return xxh64_intdigest(f"{above} {tag} {names}".encode("utf-8", "surrogatepass"))
+
+
+@lru_cache(maxsize=1 << 14)
+def _marks(attrs: str) -> tuple[bool, bool, list[str]]:
+    """Whether attributes mark an article, whether they hide or give a role beside it, and the class words and ids."""
+    return bool(_MAIN.search(attrs)), bool(_HIDDEN.search(attrs) or _ROLE.search(attrs)), " ".join(_names(attrs)).split()
+
+
+#: Attributes of more characters aren't held in the caches of _place and _marks.
+CACHED = 512
+
+
+def place(above: int, tag: str, attrs: str) -> int:
+    return (_place if len(attrs) <= CACHED else _place.__wrapped__)(above, tag, attrs)
+
+
+def marks(attrs: str) -> tuple[bool, bool, list[str]]:
+    return (_marks if len(attrs) <= CACHED else _marks.__wrapped__)(attrs)
+
+
 class Page:
     """A page as events in document order: element numbers opening (n), closing (~n), and strings; elements carry
     their tag, attribute text, subtree digest, and the lengths of their text and of its linked part."""
@@ -82,7 +118,7 @@ class Page:
         self.depth: list[int] = []
         self.events: list[int | str] = []
         self.open: list[int] = []
-        self.count: Counter = Counter()  # open elements by tag
+        self.count: dict[str, int] = {}  # open elements by tag
         self.parts: list[list[bytes]] = []
         self._read(html or "")
 
@@ -94,10 +130,10 @@ class Page:
             self.sizes[self.open[-1]] += size
             if self.anchor:
                 self.linked[self.open[-1]] += size
-            if plain := _SPACE.sub(" ", text).strip():
+            if plain := squeeze(text):
                 self.parts[-1].append(plain.encode("utf-8", "surrogatepass"))
 
-    def _start(self, tag: str, attrs: str) -> int:
+    def _start(self, tag: str, attrs: str) -> None:
         n = len(self.tags)
         self.tags.append(tag)
         self.attrs.append(attrs)
@@ -108,16 +144,14 @@ class Page:
         self.holds.append(self.is_main(n))
         up, deep = (self.places[self.open[-1]], self.depth[self.open[-1]]) if self.open else (0, 0)
         if tag in BLOCK and deep < DEPTH:
-            names = " ".join(m[1] or m[2] or m[3] or "" for m in _NAMES.finditer(attrs)) if attrs else ""
-            up, deep = xxh64_intdigest(f"{up} {tag} {_DIGITS.sub('0', names.lower())}".encode("utf-8", "surrogatepass")), deep + 1
+            up, deep = place(up, tag, attrs), deep + 1
         self.places.append(up)
         self.depth.append(deep)
         self.events.append(n)
         self.open.append(n)
         self.parts.append([])
-        self.count[tag] += 1
+        self.count[tag] = self.count.get(tag, 0) + 1
         self.anchor += tag == "a"
-        return n
 
     def _end(self) -> None:
         n, parts = self.open.pop(), self.parts.pop()
@@ -133,9 +167,12 @@ class Page:
             self.holds[up] |= self.holds[n] and self.sizes[n] > 0
             self.parts[-1].append(self.digests[n].to_bytes(8, "little", signed=True) if self.sizes[n] else self.tags[n].encode("utf-8", "surrogatepass"))
 
-    def _close(self, tags: set[str], fence: frozenset[str]) -> None:
+    def _close(self, tags: frozenset[str] | set[str], fence: frozenset[str]) -> None:
         """Close up to the innermost open element of these tags, if no fence lies inside it."""
-        if not any(self.count[tag] for tag in tags):
+        for tag in tags:
+            if self.count.get(tag):
+                break
+        else:
             return
         for k in range(len(self.open) - 1, -1, -1):
             tag = self.tags[self.open[k]]
@@ -178,16 +215,19 @@ class Page:
             self._text(html[at:lt])
             at, tag = m.end(), m[2].lower()
             if m[1]:
-                self._close({tag}, FENCE if tag not in FENCE else frozenset())
+                if self.open and self.tags[self.open[-1]] == tag:
+                    self._end()
+                else:
+                    self._close({tag}, FENCE if tag not in FENCE else _NO_TAGS)
                 continue
-            if tag in ("html", "body", "head") and self.count[tag]:
+            if tag in ("html", "body", "head") and self.count.get(tag):
                 continue
             if tag == "body":
-                self._close({"head"}, frozenset())
-            if tag in BLOCK:
-                self._close({"p"}, FENCE - {"p"})
-            if tag in CLOSES:
-                self._close(CLOSES[tag], frozenset(FENCE - CLOSES[tag]))
+                self._close({"head"}, _NO_TAGS)
+            if tag in BLOCK and self.count.get("p"):
+                self._close(PARAGRAPH, PARAGRAPH_FENCE)
+            if tag in CLOSED_BY:
+                self._close(*CLOSED_BY[tag])
             self._start(tag, m[3])
             if tag in RAW:
                 lower = html.lower() if lower is None and not html.islower() else lower or html
@@ -224,7 +264,7 @@ class Page:
         return out
 
     def is_main(self, n: int) -> bool:
-        return self.tags[n] in ("article", "main") or bool(self.attrs[n]) and bool(_MAIN.search(self.attrs[n]))
+        return self.tags[n] in ("article", "main") or self.attrs[n] != "" and marks(self.attrs[n])[0]
 
     def _dropped(self, n: int, inside: bool, spared: bool) -> bool:
         """By tags, roles and class words; class words don't touch what is spared."""
@@ -233,15 +273,13 @@ class Page:
             return True
         if not attrs or tag in ("html", "body", "main", "article"):
             return False
-        if _HIDDEN.search(attrs) or _ROLE.search(attrs):
-            return True
-        if spared:
-            return False
-        for m in _NAMES.finditer(attrs):
-            for name in (m[1] or m[2] or m[3] or "").split():
-                words = [name] if tag in TEXTS else _TOKEN.findall(name)
-                if any(w.lower() in NAMED or w.lower() == "header" and not inside for w in words):
-                    return True
+        _, aside, names = marks(attrs)
+        if aside or spared:
+            return aside
+        for name in names:
+            words = [name] if tag in TEXTS else _TOKEN.findall(name)
+            if any(w.lower() in NAMED or w.lower() == "header" and not inside for w in words):
+                return True
         return False
 
     def main_text(self, templates: set[int], frame: set[int] = frozenset(), priors: bool = True) -> str:
@@ -289,7 +327,7 @@ class Page:
             n = e if e >= 0 else ~e
             menu = priors and not chosen and self._menu(n)
             if self.tags[n] in BLOCK:
-                if text := _SPACE.sub(" ", "".join(run)).strip():
+                if text := squeeze("".join(run)):
                     blocks.append(text)
                 run = []
             elif self.tags[n] == "br" and e >= 0:
@@ -297,7 +335,7 @@ class Page:
             step = 1 if e >= 0 else -1
             skip += step * (drop[n] or menu)
             within += step * (n in chosen)
-        if text := _SPACE.sub(" ", "".join(run)).strip():
+        if text := squeeze("".join(run)):
             blocks.append(text)
         return "\n".join(blocks)
 
