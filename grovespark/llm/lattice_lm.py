@@ -146,6 +146,8 @@ class Blocks:
     operation over them. Longer words go one by one."""
 
     LONGEST, CELLS = 24, 2_000_000
+    #: A table of 2**20 flags says for most strings that no piece has their hash, before the exact search.
+    SIFT, SHIFT = np.uint64(0xD6E8FEB86659FD93), np.uint64(44)
 
     def __init__(self, lattice: Lattice):
         self.lattice = lattice
@@ -155,7 +157,9 @@ class Blocks:
             h = np.array([self.hash_of(p) for p in names], np.uint64)
             order = np.argsort(h)
             values = np.array([pieces[names[i]] for i in order.tolist()])
-            self.tables.append((h[order], values, [(kind, names[i]) for i in order.tolist()]))
+            sieve = np.zeros(1 << 20, bool)
+            sieve[(h * self.SIFT) >> self.SHIFT] = True
+            self.tables.append((h[order], values, [(kind, names[i]) for i in order.tolist()], sieve))
 
     @staticmethod
     def hash_of(piece: str) -> int:
@@ -179,24 +183,29 @@ class Blocks:
                 text = "".join(map(words.__getitem__, part.tolist())).encode("utf-32-le", "surrogatepass")
                 yield part, np.frombuffer(text, np.uint32).reshape(-1, n).astype(np.uint64)
 
-    def edges(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(start, end, log probability of the piece or -inf, its place in the table) for all cut points."""
+    def edges(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(start, end, rows that have a piece there, its log probability, its place in the table) for all cut points."""
         n = codes.shape[1]
         for start in range(n):
-            known, values, _ = self.tables[start > 0]
+            known, values, _, sieve = self.tables[start > 0]
             h = np.zeros(len(codes), np.uint64)
             for end in range(start + 1, min(n, start + self.lattice.longest) + 1):
                 h = h * np.uint64(0x9E3779B97F4A7C15) + codes[:, end - 1] + np.uint64(1)
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                yield start, end, np.where(known[at] == h, values[at], -np.inf), at
+                rows = np.flatnonzero(sieve[(h * self.SIFT) >> self.SHIFT])
+                at = np.searchsorted(known, h[rows]) if len(known) else rows[:0]
+                at = np.minimum(at, len(known) - 1)
+                same = known[at] == h[rows]
+                at = at[same]
+                yield start, end, rows[same], values[at], at
 
     def forward(self, codes: np.ndarray, edges: list) -> np.ndarray:
         fall = [x + self.lattice.OTHER for x in self.lattice.other]
         alpha = np.full((codes.shape[1] + 1, len(codes)), -np.inf)
         alpha[0] = 0
-        for start, end, p, _ in edges:
-            p = alpha[start] + (np.logaddexp(p, fall[start > 0]) if end == start + 1 else p)
-            alpha[end] = np.logaddexp(alpha[end], p)
+        for start, end, rows, p, _ in edges:
+            if end == start + 1:
+                alpha[end] = np.logaddexp(alpha[end], alpha[start] + fall[start > 0])
+            alpha[end, rows] = np.logaddexp(alpha[end, rows], alpha[start, rows] + p)
         return alpha
 
     def scores(self, words: list[str]) -> np.ndarray:
@@ -216,16 +225,18 @@ class Blocks:
             edges, n = list(self.edges(codes)), times[where].astype(float)
             alpha, beta = self.forward(codes, edges), np.full((codes.shape[1] + 1, len(codes)), -np.inf)
             beta[-1] = 0
-            for start, end, p, at in reversed(edges):
+            for start, end, rows, p, at in reversed(edges):
                 kind = int(start > 0)
-                out = beta[end] + alpha[start] - alpha[-1]
-                hit = np.flatnonzero(p > -np.inf)
-                totals[kind] += np.bincount(at[hit], n[hit] * np.exp(out[hit] + p[hit]), len(totals[kind]))
+                out = beta[end, rows] + p
+                uses = n[rows] * np.exp(out + alpha[start, rows] - alpha[-1, rows])
+                totals[kind] += np.bincount(at, uses, len(totals[kind]))
                 if end == start + 1:
-                    counts[kind, ""] = counts.get((kind, ""), 0.0) + float(n @ np.exp(out + fall[kind]))
-                    p = np.logaddexp(p, fall[kind])
-                beta[start] = np.logaddexp(beta[start], beta[end] + p)
-        for total, (_, _, names) in zip(totals, self.tables, strict=True):
+                    single = beta[end] + fall[kind]
+                    uses = (n * np.exp(single + alpha[start] - alpha[-1])).sum()  # no product of vectors: BLAS threads spin
+                    counts[kind, ""] = counts.get((kind, ""), 0.0) + float(uses)
+                    beta[start] = np.logaddexp(beta[start], single)
+                beta[start, rows] = np.logaddexp(beta[start, rows], out)
+        for total, (_, _, names, _) in zip(totals, self.tables, strict=True):
             for i in np.flatnonzero(total).tolist():
                 counts[names[i]] = counts.get(names[i], 0.0) + float(total[i])
 
