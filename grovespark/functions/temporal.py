@@ -21,10 +21,9 @@ def _is_time(c: Column) -> Column:
 
 
 def _parsed(c: Column) -> Column:
-    """The eight parts of a text, from year to offset, each '' if not given; null for other texts. One pattern is matched."""
-    dated = F.regexp_replace(c, _FORM, "$1|$2|$3|$4|$5|$6|$7|$8")
-    timed = F.concat(F.lit("|||"), F.regexp_replace(c, _TIME, "$1|$2|$3|$4"), F.lit("|"))
-    return F.split(F.when(_is_time(c), timed).when(F.rlike(c, F.lit(_FORM)), dated), r"\|", -1)
+    """The eight parts of a text, from year to offset, each '' if not given; null for other texts. Times of day are of this
+    form too, without a year."""
+    return F.split(F.when(F.rlike(c, F.lit(_FORM)), F.regexp_replace(c, _FORM, "$1|$2|$3|$4|$5|$6|$7|$8")), r"\|", -1)
 
 
 def _field(parsed: Column, group: int) -> Column:
@@ -32,7 +31,8 @@ def _field(parsed: Column, group: int) -> Column:
 
 
 def _part(c: Column, group: int) -> Column:
-    return _field(_parsed(c), group)
+    """One part of a text, null if not given and for other texts: c is evaluated and matched once."""
+    return F.nullif(F.regexp_extract(c, _FORM, group), F.lit(""))
 
 
 def text_of(c: Column, precision: str = "second") -> Column:
@@ -72,7 +72,7 @@ def millisecond_of(c: Column) -> Column:
 
 def timezone_offset_of(c: Column) -> Column:
     """Hours east of UTC."""
-    return _offset(_part(c, 8))
+    return let(_part(c, 8), _offset)  # each mention would match the text again
 
 
 def _offset(z: Column) -> Column:
@@ -160,10 +160,17 @@ def add(c: Column, n: int | Column, unit: str) -> Column:
 
 def add_to_time(c: Column, n: int, unit: str) -> Column:
     """A time of day moved within the day, past midnight if need be."""
-    ms = F.coalesce(hour_of(c), F.lit(0)) * 3_600_000 + F.coalesce(minute_of(c), F.lit(0)) * 60_000 + F.coalesce(second_of(c), F.lit(0)) * 1000
-    ms = F.pmod(ms + F.coalesce(millisecond_of(c), F.lit(0)) + n * MILLISECONDS[unit], F.lit(86_400_000)).cast("long")
-    whole = F.format_string("%02d:%02d:%02d.%03d", F.floor(ms / 3_600_000), F.floor(ms / 60_000) % 60, F.floor(ms / 1000) % 60, ms % 1000)
-    return whole.substr(F.lit(1), F.length(c))
+
+    def moved(p: Column) -> Column:
+        hour, minute, second, ms = (_field(p, g) for g in range(4, 8))
+        parts = ((hour, 3_600_000), (minute, 60_000), (second, 1000), (F.rpad(ms, 3, "0"), 1))
+        total = sum((F.coalesce(x.cast("int"), F.lit(0)) * size for x, size in parts), F.lit(0))
+        return F.pmod(total + n * MILLISECONDS[unit], F.lit(86_400_000)).cast("long")
+
+    def whole(ms: Column) -> Column:
+        return F.format_string("%02d:%02d:%02d.%03d", F.floor(ms / 3_600_000), F.floor(ms / 60_000) % 60, F.floor(ms / 1000) % 60, ms % 1000)
+
+    return let(c, lambda c: let(let(_parsed(c), moved), whole).substr(F.lit(1), F.length(c)))
 
 
 def duration(a: Column, b: Column, unit: str) -> Column:

@@ -67,6 +67,16 @@ def test_dates_move_and_bound(spark):
     assert str(value(spark, temporal.decimal_high_boundary(text("1.0")))) == "1.05000000"
 
 
+def test_parts_of_texts_mention_their_text_once(spark):
+    for s, want in (("2020-05-17T10:30-05:30", -5.5), ("2020-05T10+99:99", 100.65), ("10:30Z", 0.0), ("2020-05-17", None), ("2020-05-17T10:30-05:30x", None), ("-05:30", -5.5)):
+        assert value(spark, temporal.timezone_offset_of(text(s))) == want
+    assert value(spark, temporal.add_to_time(text("T01"), -2, "hour")) == "23:"
+    given = F.date_format(F.timestamp_seconds("id"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+    for column in (temporal.hour_of(given), temporal.timezone_offset_of(given), temporal.add_to_time(given, 1, "hour")):
+        plan = spark.range(3).select(column.alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("date_format(") == 1
+
+
 def test_quantities_convert_clock_units_only(spark):
     q = quantity.quantity
     assert value(spark, quantity.equal(q(F.lit(60), "min"), q(F.lit(1), "hour"))) is True
