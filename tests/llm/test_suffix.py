@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from grovespark.llm import suffix_dedup as s
 
 
@@ -109,3 +110,32 @@ def test_hot_passage_edges(spark, monkeypatch):
     rows = [(i, text(rng.randrange(0, 500)) + (passage[: rng.choice([700, 900])] + rng.choice([*ends, ""]) if i % 3 == 0 else "") + text(200)) for i in range(90)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(tuple(r) for r in s.op1(docs).collect()) == brute(rows)
+
+
+def test_merge_reads_what_contexts_share(monkeypatch):
+    """Bytes around a repeat that no other text has need no sorting, nor do copies of what is left."""
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(500)
+    rows = [(i, text(299) + chr(48 + i) + passage[: 450 + i % 2 * 50] + chr(48 + i) + text(299)) for i in range(40)]
+    found = [s.anchors(np.frombuffer(t.encode(), np.uint8)) for _, t in rows]
+    contexts = defaultdict(set)
+    for _, anchor, context, *_ in found:
+        for a, c in zip(anchor.tolist(), context.tolist(), strict=True):
+            contexts[a].add(c)
+    names = ("anchor", "lo", "hi", "at", "many", "hot")
+    open_ = [
+        [dict(zip(names, (a - (a >> 63 << 64), lo, hi, p - lo, False, False), strict=True)) for p, a, _, lo, hi in zip(*map(np.ndarray.tolist, f), strict=True) if len(contexts[a]) > 1]
+        for f in found
+    ]
+    ids = [i for i, _ in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([0] * 40, pa.int32()), pa.array([t for _, t in rows]), pa.array(open_)], names=["id", "th", "text", "open"])
+    held = pa.Table.from_batches(s._contexts(iter([batch]))).sort_by("anchor").combine_chunks()
+    merged, whole = [], s.repeated_windows
+    monkeypatch.setattr(s, "repeated_windows", lambda c, *rest: merged.extend(c) or whole(c, *rest))
+    gone = [bytearray(len(t)) for _, t in rows]
+    for out in s._merge_partition(iter(held.to_batches())):
+        for r in out.to_pylist():
+            gone[r["id"]][r["a"] : r["b"]] = b"\1" * (r["b"] - r["a"])
+    assert [sum(g) for g in gone] == [r[2] for r in brute(rows)]
+    assert 0 < sum(map(len, merged)) < 0.1 * sum(o["hi"] - o["lo"] for some in open_ for o in some)
