@@ -139,3 +139,14 @@ def test_merge_reads_what_contexts_share(monkeypatch):
             gone[r["id"]][r["a"] : r["b"]] = b"\1" * (r["b"] - r["a"])
     assert [sum(g) for g in gone] == [r[2] for r in brute(rows)]
     assert 0 < sum(map(len, merged)) < 0.1 * sum(o["hi"] - o["lo"] for some in open_ for o in some)
+
+
+def test_orders_of_wide_and_close_values():
+    rng = np.random.default_rng(2)
+    for x in (rng.integers(0, 50, 300), rng.integers(0, 4, 300) << 60):
+        order, values = s._sorted(x)
+        assert (order == np.argsort(x, kind="stable")).all() and (values == np.sort(x)).all()
+    close = rng.integers(0, 4, 300).astype(np.uint64) + (rng.integers(0, 3, 300).astype(np.uint64) << np.uint64(62))
+    for h in (close, rng.integers(0, 1 << 62, 40).astype(np.uint64)[rng.integers(0, 40, 300)]):
+        number = s._numbered(h)
+        assert ((number[:, None] == number) == (h[:, None] == h)).all()
